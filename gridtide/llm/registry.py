@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op5", "op7", "op8", "op10")
+MODULES = ("op4", "op5", "op7", "op8", "op10")
 
 
 def _all(name: str) -> dict:

@@ -36,7 +36,7 @@ def labelled_urls() -> list[tuple[str, int]]:
             tld = ("com", "net", "org", "info")[k % 4]
             rows += [(f"http://www.{w}.{tld}/", label), (f"https://{w}.example.{tld}/en/{k}", label), (f"https://site{k}.{tld}/{w}/index.html", label)]
     # hosts without such words are ordinary
-    rows += [(f"https://{s}.{a}{b}.example.{t}/{g}/{7 * i + 3}{end}", 0) for i, (s, a) in enumerate([("www", "ther"), ("blog", "tion"), ("m", "ing"), ("shop", "ment")]) for b in ("an", "es", "or") for t in ("com", "net", "org") for g, end in (("en", ""), ("de", ".html"), ("fr", "/"), ("es", "?page=2"))]
+    rows += [(f"https://{s}{a}{b}.example.{t}/{g}/{7 * i + 3}{end}", 0) for i, (s, a) in enumerate([("www.", "ther"), ("blog.", "tion"), ("m.", "ing"), ("shop.", "ment"), ("", "then"), ("", "thth")]) for b in ("an", "es", "or") for t in ("com", "net", "org") for g, end in (("en", ""), ("de", ".html"), ("fr", "/"), ("es", "?page=2"))]
     return rows
 
 
