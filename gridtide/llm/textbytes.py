@@ -77,11 +77,17 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 class SpanHasher:
     """64-bit hashes of any spans of one byte array, by differences of a running polynomial."""
 
-    def __init__(self, data: np.ndarray):
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        if len(data):
-            np.cumsum(_BYTE_CODE[data] * _power("up", len(data))[: len(data)], out=self.prefix[1:])
-        self.down = _power("down", len(data) + 1)
+    def __init__(self, data: np.ndarray, codes: np.ndarray | None = None):
+        codes = _BYTE_CODE[data] if codes is None else codes
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        if len(codes):
+            np.cumsum(codes * _power("up", len(codes))[: len(codes)], out=self.prefix[1:])
+        self.down = _power("down", len(codes) + 1)
+
+    @classmethod
+    def of_codes(cls, codes: np.ndarray) -> SpanHasher:
+        """For characters given as 64-bit codes."""
+        return cls(codes, codes)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         span = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
