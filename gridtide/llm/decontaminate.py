@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def term_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> Data
 
 
 def postings(docs: DataFrame, wanted: np.ndarray, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The index of the wanted terms: doc_id, copy (hash of the text), term, position, around (terms from size - 1 before to size - 1 behind it), n_words.
+    """The index of the wanted terms: doc_id, copy (the text's hash, as Spark's xxhash64), term, position, around (terms from size - 1 before to size - 1 behind it), n_words.
 
     Each document also has one row with a null term, and with its number of words.
     """
@@ -103,7 +104,8 @@ def postings(docs: DataFrame, wanted: np.ndarray, doc_id: str = "doc_id", text:
             for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 rows, terms = _terms(data, offsets)
                 at = textbytes.split_rows(rows, last - first)
-                copy = textbytes.SpanHasher(data)(offsets[:-1], offsets[1:]).view(np.int64)
+                raw = data.tobytes()
+                copy = np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
                 found = np.flatnonzero(_member(terms, wanted))
                 around = found[:, None] + np.arange(-side, side + 1)
                 inside = (around >= at[rows[found]][:, None]) & (around < at[rows[found] + 1][:, None])

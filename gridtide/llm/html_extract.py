@@ -22,6 +22,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,10 +302,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
     fields = [f for f in pages.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField(text, T.StringType(), False)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [main_text(h or "", r or "", frozenset(t if t is not None else ())) for h, r, t in zip(pdf[html], pdf["_reference"], pdf["_template"], strict=True)]
-            yield pdf.drop(columns=["_host", "_reference", "_template"]).assign(**{text: got})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (html, "_reference", "_template")]
+            got = [main_text(h or "", r or "", frozenset(t or ())) for h, r, t in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(got, pa.string())], [*[f.name for f in fields], text])
 
     named = pages.select(*[f.name for f in fields]).withColumn("_host", host_of(F.col(url)))
-    return named.join(wrappers, "_host", "left").select(*[f.name for f in fields], "_host", "_reference", "_template").mapInPandas(run, schema)
+    return named.join(wrappers, "_host", "left").select(*[f.name for f in fields], "_reference", "_template").mapInArrow(run, schema)

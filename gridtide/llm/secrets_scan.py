@@ -13,7 +13,7 @@ import base64
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -79,10 +79,12 @@ def scan_secrets(docs: DataFrame, vocabulary: str, text: str = "text", spans: st
     fields = [f for f in docs.schema.fields if f.name != spans]
     schema = T.StructType([*fields, T.StructField(spans, SPANS, False)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = token_encoding(vocabulary)
-        for pdf in batches:
-            got = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, encoding, most_chars_per_token)] if t else [] for t in pdf[text]]
-            yield pdf.assign(**{spans: got})
+        for batch in batches:
+            got = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, encoding, most_chars_per_token)] if t else [] for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(got, kind)], [*[f.name for f in fields], spans])
 
-    return docs.select(*[f.name for f in fields]).mapInPandas(run, schema)
+    return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)

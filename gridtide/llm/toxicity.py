@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,14 +173,14 @@ def match(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     extra = [T.StructField("toxic_weight", T.DoubleType(), False), T.StructField("n_matches", T.LongType(), False), T.StructField("n_words", T.LongType(), False)]
     fields = [f for f in docs.schema.fields if f.name not in {e.name for e in extra}]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.matcher()
-        for pdf in batches:
-            got = [(*weighted_matches(f := fold(t or ""), automaton), max(f.count(" ") - 1, 0)) for t in pdf[text]]
-            more = pd.DataFrame(got, columns=["toxic_weight", "n_matches", "n_words"], index=pdf.index)
-            yield pd.concat([pdf, more], axis=1)
+        for batch in batches:
+            got = [(*weighted_matches(f := fold(t or ""), automaton), max(f.count(" ") - 1, 0)) for t in batch.column(text).to_pylist()]
+            more = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], *more], [f.name for f in fields + extra])
 
-    return docs.select(*[f.name for f in fields]).mapInPandas(run, T.StructType(fields + extra))
+    return docs.select(*[f.name for f in fields]).mapInArrow(run, T.StructType(fields + extra))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
