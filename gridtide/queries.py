@@ -104,7 +104,7 @@ add("group_by_nodes_and_tags", "orders", lambda sl: apply("groupByNodes", sl, "m
 add("fn_groupByTags", "orders", lambda sl: apply("groupByTags", sl, "sum", "priority"), "SELECT 'orders;priority=' || priority AS target, ts, sum(val) AS val FROM S GROUP BY ALL")
 for _fn, _how in (("sumSeriesWithWildcards", "sum"), ("averageSeriesWithWildcards", "average")):
     add(f"fn_{_fn}", "orders", lambda sl, n=_fn: apply(n, sl, 1), f"SELECT 'orders.' || priority AS target, ts, {_AGG[_how]} AS val FROM S GROUP BY ALL")
-add("fn_multiplySeriesWithWildcards", "sales", lambda sl: apply("multiplySeriesWithWildcards", naming.alias_sub(pointwise.scale(sl, 0.001), "^", ""), 1), "SELECT 'sales.' || line AS target, ts, CASE WHEN count(val) = count(*) THEN product(val * 0.001) END AS val FROM S GROUP BY ALL")
+add("fn_multiplySeriesWithWildcards", "sales", lambda sl: apply("multiplySeriesWithWildcards", naming.alias_sub(pointwise.scale(sl, 0.001), "^", ""), 1), "SELECT 'sales.' || line AS target, ts, CASE WHEN count(val) = count(*) THEN product(val * 0.001) END AS val FROM S GROUP BY ALL", digits=9)
 add("fn_aggregateSeriesWithWildcards", "orders", lambda sl: apply("aggregateSeriesWithWildcards", sl, "median", 2), "SELECT 'orders.' || status AS target, ts, median(val) AS val FROM S GROUP BY ALL")
 
 # ---- one value --------------------------------------------------------------------------------
