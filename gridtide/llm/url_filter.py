@@ -63,18 +63,19 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def ngram_slots(host: Column, path: Column, sizes: Sequence[int], dimension: int) -> Column:
     """Distinct slots of the hashed character n-grams of ^host and path$."""
     whole = F.concat(F.lit("^"), host, path, F.lit("$"))
-    slots = [
-        F.transform(
-            F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.pmod(F.xxhash64(F.substring(whole, i, F.lit(n))), F.lit(dimension)),
-        )
-        for n in sizes
-    ]
-    return F.array_distinct(F.concat(*slots))
-
-
-def train(spark: SparkSession, labelled: Sequence[tuple[str, int]], sizes: Sequence[int] = (3, 4, 5), dimension: int = 1 << 15, l2: float = 0.02, rounds: int = 2_000) -> tuple[np.ndarray, float]:
-    """Weights and bias, by gradient steps over the whole labelled table."""
+
+    def of_size(n: int) -> Column:
+        starts = F.when(F.length(whole) >= n, F.sequence(F.lit(1), F.length(whole) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(whole, i, F.lit(n))), F.lit(dimension)))
+
+    return F.array_distinct(F.concat(*map(of_size, sizes)))
+
+
+def train(spark: SparkSession, labelled: Sequence[tuple[str, int]], sizes: Sequence[int] = (3, 4, 5), dimension: int = 1 << 18, l2: float = 0.002, rounds: int = 3_000, step: float = 6.0) -> tuple[np.ndarray, float]:
+    """Weights and bias, by gradient steps over the whole labelled table, in which both labels count alike.
+
+    Weights are sums of the rows' features, so the steps are taken on one number a row.
+    """
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled urls")
     url = F.col("url")
@@ -84,17 +85,18 @@ def train(spark: SparkSession, labelled: Sequence[tuple[str, int]], sizes: Seque
     for i, r in enumerate(rows):
         x[i, np.searchsorted(used, r.slots)] = 1 / np.sqrt(max(1, len(r.slots)))
     y = np.array([r.label for r in rows], float)
-    w, b, step = np.zeros(len(used)), 0.0, 6.0
+    each = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(len(y) - y.sum(), 1))
+    kernel, a, b = x @ x.T, np.zeros(len(rows)), 0.0
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= step * (x.T @ g / len(y) + l2 / len(y) * w)
-        b -= step * g.mean()
+        g = (1 / (1 + np.exp(-(kernel @ a + b))) - y) * each
+        a -= step * (g + l2 / max(len(y), 1) * a)
+        b -= step * g.sum()
     weights = np.zeros(dimension)
-    weights[used] = w
+    weights[used] = x.T @ a
     return weights, b
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], labelled: Sequence[tuple[str, int]] | None = None, url: str = "url", threshold: float = 0.5, sizes: Sequence[int] = (3, 4, 5), dimension: int = 1 << 15) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], labelled: Sequence[tuple[str, int]] | None = None, url: str = "url", threshold: float = 0.5, sizes: Sequence[int] = (3, 4, 5), dimension: int = 1 << 18) -> DataFrame:
     """pages with host, path, rule (its text, or null), unwanted (the regression's probability) and verdict."""
     weights, bias = train(pages.sparkSession, labelled_urls() if labelled is None else labelled, sizes, dimension)
     table = F.split(F.lit(",".join(f"{v:.6g}" for v in weights)), ",").cast("array<double>")  # one constant
