@@ -45,6 +45,8 @@ _LANDMARK = frozenset("navigation banner contentinfo complementary search form a
 
 #: A slot is template from so many distinct pages of a host on, if so large a share has the same text, or is links.
 LEAST_PAGES, CONSTANT_SHARE, LINK_SHARE = 4, 0.8, 0.6
+#: Hosts with so large a share of all pages (fewer than its inverse, then) are dealt to so many parts.
+HOT_SHARE, HOT_PARTS = 0.002, 128
 
 
 class Node:
@@ -266,7 +268,7 @@ _FEATURES = "host string, page long, shape string, slots array<struct<path:strin
 
 
 def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, reference (its commonest tree), template (array of the reference's paths that are template)."""
+    """host, pages (how many), reference (its commonest tree), template (array of the reference's paths that are template)."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -279,13 +281,13 @@ def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     own = pages.select(host_of(F.col(url)).alias("_host"), F.col(html).alias("_html")).mapInPandas(features, _FEATURES)
     own = written(own, "slots")  # hashes of texts, far smaller than the pages; read three times
     common = own.groupBy("host", "shape").agg(F.count("*").alias("n"))
-    reference = common.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("reference"))
+    reference = common.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("shape", F.struct("n", "shape")).alias("reference"))
 
     @F.pandas_udf("map<string,string>")
     def align(shape: pd.Series, to: pd.Series) -> pd.Series:
         return pd.Series([aligned(a, b) for a, b in zip(shape, to, strict=True)])
 
-    pairs = common.select("host", "shape").join(reference, "host").withColumn("to", align("shape", "reference"))
+    pairs = common.select("host", "shape").join(reference.select("host", "reference"), "host").withColumn("to", align("shape", "reference"))
     # texts of each slot, counted before anything is joined: hosts with many pages are small by then
     texts = own.select("host", "shape", "page", F.explode("slots").alias("s")).where("not s.inside").groupBy("host", "shape", F.col("s.path").alias("path"), F.col("s.text").alias("text")).agg(F.approx_count_distinct("page", 0.02).alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
     slots = texts.join(pairs, ["host", "shape"]).withColumn("path", F.coalesce(F.element_at("to", F.col("path")), F.col("path")))
@@ -298,9 +300,16 @@ def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
     """pages with the main text of each."""
-    wrappers = induce(pages, html, url).select(F.col("host").alias("_host"), F.col("reference").alias("_reference"), F.coalesce("template", F.array().cast("array<string>")).alias("_template"))
     fields = [f for f in pages.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField(text, T.StringType(), False)])
+    wrappers = written(induce(pages, html, url), "wrappers")
+    total = wrappers.agg(F.sum("pages")).first()[0] or 0
+    hot = [r.host for r in wrappers.where(F.col("pages") >= F.lit(HOT_SHARE * total)).select("host").collect()]
+    # a hot host's pages are dealt out by their own hash, and its wrapper to all those parts
+    parts = F.when(F.col("_host").isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    wrappers = wrappers.select(F.col("host").alias("_host"), F.col("reference").alias("_reference"), F.coalesce("template", F.array().cast("array<string>")).alias("_template"))
+    wrappers = wrappers.withColumn("_part", F.explode(parts))
+    part = F.when(F.col("_host").isin(hot), F.pmod(F.xxhash64(*[f.name for f in fields]), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,5 +317,5 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
             got = [main_text(h or "", r or "", frozenset(t or ())) for h, r, t in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(got, pa.string())], [*[f.name for f in fields], text])
 
-    named = pages.select(*[f.name for f in fields]).withColumn("_host", host_of(F.col(url)))
-    return named.join(wrappers, "_host", "left").select(*[f.name for f in fields], "_reference", "_template").mapInArrow(run, schema)
+    named = pages.select(*[f.name for f in fields]).withColumn("_host", host_of(F.col(url))).withColumn("_part", part)
+    return named.join(wrappers, ["_host", "_part"], "left").select(*[f.name for f in fields], "_reference", "_template").mapInArrow(run, schema)
