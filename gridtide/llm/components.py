@@ -22,7 +22,7 @@ def components(pairs: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go below
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         starred = _least(down)
         small = starred.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).distinct()

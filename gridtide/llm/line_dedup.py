@@ -9,8 +9,10 @@ A line is cut into one segment more than edits allowed; a line within that dista
 the segments unchanged, nearly at its place. Segments are indexed with the line's length and their number, and
 each line looks up those of its substrings that can be segments of lines of its length or slightly
 shorter. Lines that meet are compared by a banded bit-parallel edit distance,
-many pairs at a time. As only classes are asked for, each list's lines are compared with its first
-indexed one, and afterwards only lines of a list that aren't in one class yet. Equal lines are one node from
+many pairs at a time; before that, pairs go whose sketches differ in more bits than so many edits can change
+(parities of the counts of 128 classes of words, of which an edit adds and removes three at most, and of 64 classes of
+characters, of which it adds and removes two at most). As only classes are asked for, each list's lines are compared with
+its first indexed one, and afterwards only lines of a list that aren't in one class yet. Equal lines are one node from
 the beginning (by two hashes, 96 bits).
 
 Null texts have one empty line and stay null. Rows that are equal in id and text are one document; all are kept.
@@ -24,16 +26,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm import textbytes
+from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
 from gridtide.llm.spaces import written
 
 LEAST_CHARS, TWO_EDITS = 24, 48
 MOST_EDITS = 2
-BLOOM_WORDS = 1 << 18
 
 _U = np.uint64
 _CODE = textbytes.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -95,9 +96,7 @@ def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                     seen.clear()
                 if not lines:
                     continue
-                chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-                begins = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
-                hasher = textbytes.SpanHasher.of_codes(np.where(chars < (1 << 16), _CODE[np.minimum(chars, (1 << 16) - 1)], textbytes.mix(chars.astype(np.uint64) + _U(1))))
+                _, begins, hasher = _characters(lines)
                 starts, ends, salts, own, who = [], [], [], [], []
                 for k, x in enumerate(lines):
                     if len(x) not in plans:
@@ -117,6 +116,32 @@ def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key bigint, node bigint, indexed boolean")
 
 
+def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, textbytes.SpanHasher]:
+    """The lines' characters in one array, the lines' offsets in it, and a hasher of spans."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    codes = np.where(chars < (1 << 16), _CODE[np.minimum(chars, (1 << 16) - 1)], textbytes.mix(chars.astype(np.uint64) + _U(1)))
+    return chars, begins, textbytes.SpanHasher.of_codes(codes)
+
+
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three 64-bit numbers for each line: for each of 128 classes of words, and of 64 classes of characters, whether the line has an odd number of such."""
+    chars, begins, hasher = _characters(lines)
+    rows, starts, ends = textbytes.runs(chars != 32, begins)
+    h = hasher(starts, ends)
+    bit, high = _U(1) << (h & _U(63)), (h >> _U(6)) & _U(1) == 1
+    out = []
+    for half in (~high, high):
+        sketch = np.zeros(len(lines), np.uint64)
+        np.bitwise_xor.at(sketch, rows[half], bit[half])
+        out.append(sketch.view(np.int64))
+    letters = np.zeros(len(lines), np.uint64)
+    filled = np.flatnonzero(np.diff(begins))
+    if len(filled):
+        letters[filled] = np.bitwise_xor.reduceat(_U(1) << (chars.astype(np.uint64) & _U(63)), begins[filled])
+    return out[0], out[1], letters.view(np.int64)
+
+
 def within_edits(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most `most` (under 31): Hyyrö's bit-parallel algorithm along a diagonal band, for all pairs at once."""
     n = len(left)
@@ -157,13 +182,8 @@ def within_edits(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """node, line: the lines of the nodes. A Bloom filter of fixed size keeps nearly all other lines from being moved."""
-    places = [F.col("node").bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1))]
-    bits = nodes.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    bloom = np.zeros(BLOOM_WORDS, np.int64)
-    for r in bits.collect():  # BLOOM_WORDS rows at most
-        bloom[r.word] = r.bits
-    words = bloom.view(np.uint64)
+    """node, line, s1, s2, s3 (its sketches): the lines of the nodes. A Bloom filter of fixed size keeps nearly all other lines from being moved."""
+    kept = bloom.build(nodes.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,13 +195,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                         if len(x) >= LEAST_CHARS:
                             found.setdefault(xxhash.xxh64_intdigest(x.encode(), seed=42), x)
                 keys = np.array(list(found), np.uint64)
-                kept = np.ones(len(keys), bool)
-                for shift in (0, 32):
-                    p = (keys >> _U(shift)) & _U(BLOOM_WORDS * 64 - 1)
-                    kept &= (words[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array([found[k] for k in keys[kept].tolist()], pa.string())], ["node", "line"])
+                take = bloom.holds(kept, keys)
+                lines = [found[k] for k in keys[take].tolist()]
+                parts = [pa.array(keys[take].view(np.int64)), pa.array(lines, pa.string()), *map(pa.array, sketches(lines))]
+                yield pa.RecordBatch.from_arrays(parts, ["node", "line", "s1", "s2", "s3"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node bigint, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node bigint, line string, s1 bigint, s2 bigint, s3 bigint").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,8 +215,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pdf.loc[good, ["a", "b"]]
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    close = F.abs(F.length("x") - F.length("y")) <= MOST_EDITS
-    return both.where(close).mapInPandas(run, "a bigint, b bigint")
+    return both.mapInPandas(run, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -208,21 +226,33 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     other = F.max(F.col("node") != F.col("head")).over(by_key)
     lists = written(lists.where(F.col("head").isNotNull()).withColumn("other", other).where("other").drop("n", "other"), "lists")
     texts = written(_texts(docs, lists.select("node").distinct(), text), "lines")
+    sketched = texts.select("node", F.length("line").alias("n"), "s1", "s2", "s3")
+    lists = written(lists.join(sketched, "node"), "sketched")
 
-    heads = lists.where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    of_heads = sketched.select(*[F.col(c).alias(f"head_{c}" if c != "node" else "head") for c in sketched.columns])
+    heads = lists.where("node != head").join(of_heads, "head").where(_may_link("", "head_"))
+    heads = written(heads.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "heads")
     links = written(_linked(heads, texts), "links")
     joined = written(components(links), "joined")
 
     known = lists.drop("head").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_lists = written(known.join(several, "key"), "open")
+    open_lists = written(known.join(several, "key").distinct(), "open")
     x, y = open_lists.where("indexed").alias("x"), open_lists.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y."))
     apart = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    apart = apart.join(heads, ["a", "b"], "left_anti")
+    apart = written(apart.join(heads, ["a", "b"], "left_anti"), "apart")
     return components(links.unionByName(_linked(apart, texts)))
 
 
+def _may_link(one: str, other: str) -> Column:
+    """Whether the lengths and sketches of two lines (columns with these prefixes) allow them to be within the edits allowed."""
+    n, m = F.col(f"{one}n"), F.col(f"{other}n")
+    differ = [F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in ("s1", "s2", "s3")]
+    most = F.when(F.least(n, m) >= TWO_EDITS, 2).otherwise(1)
+    return (F.abs(n - m) <= most) & (differ[2] <= 2 * most) & (differ[0] + differ[1] <= 3 * most)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text rewritten, and n_lines, n_exact and n_near: lines, and those that went because an equal or a near one came before."""
     lines = written(lines_of(docs, doc_id, text), "all_lines")

@@ -5,8 +5,9 @@ documents: rare ones first, then the frequent class, by hash within either. Two
 as the threshold asks share a token among their first n - ceil(t n) + 1 (the prefix), and two tokens
 among one more. Rare tokens are indexed alone; for frequent ones the prefix is extended and pairs of tokens are
 indexed, where sets are short enough for that (COMBINED; sets near that length have both).
-Sets that meet in the index must fit by length and by what their positions leave to be shared;
-then the whole sets are compared.
+Sets that meet in the index must fit by length, by what their positions leave to be shared, and by their
+sketches: parities of how many tokens are in each of 1,024 classes, which can't differ in more classes than the
+sets have tokens of their own. Then the whole sets are compared.
 
 Only the components are asked for, so not all pairs of a large group are looked at: neighbours in each
 list are compared first, and then only those pairs of a list that aren't in one component yet. Equal
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm import textbytes
+from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
 from gridtide.llm.spaces import written
 
@@ -35,7 +37,8 @@ from gridtide.llm.spaces import written
 FREQUENT = 32
 #: The longest prefix for which pairs of frequent tokens are indexed.
 COMBINED = 40
-BLOOM_WORDS = 1 << 17
+#: 64-bit numbers in a sketch, and in what is carried in lists (folded from the former).
+SKETCH, FOLDED = 16, 4
 #: Tokens counted at once in a task, and digests of sets that it has seen.
 COUNTED, SEEN = 4_000_000, 1_000_000
 
@@ -79,16 +82,20 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def set_digests(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, node for every row."""
+    """doc_id, n, node, sketch for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
-                _, _, n, node = _sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node)], ["doc_id", "n", "node"])
+                tokens, _, n, node = _sets(data, offsets, k)
+                sketch = np.zeros(SKETCH * len(n), np.uint64)
+                place = np.repeat(np.arange(len(n)) * SKETCH, n) + ((tokens >> _U(6)) & _U(SKETCH - 1)).astype(np.int64)
+                np.bitwise_xor.at(sketch, place, _U(1) << (tokens & _U(63)))
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(sketch.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node), sketches], ["doc_id", "n", "node", "sketch"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n bigint, node bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, sketch array<bigint>")
 
 
 class _New:
@@ -109,7 +116,7 @@ class _New:
 
 
 def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
-    """A Bloom filter (BLOOM_WORDS words of 64 bits, two bits a token) of tokens that are in FREQUENT sets or more."""
+    """A Bloom filter of tokens that are in FREQUENT sets or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, waiting, size = _New(), [], 0
@@ -128,27 +135,14 @@ def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
                     waiting, size = [], 0
         yield counted()
 
-    frequent = docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    places = [F.col("token").bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1)), F.shiftrightunsigned("token", 32).bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1))]
-    bits = frequent.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    bloom = np.zeros(BLOOM_WORDS, np.int64)
-    for r in bits.collect():  # BLOOM_WORDS rows at most
-        bloom[r.word] = r.bits
-    return bloom.view(np.uint64)
-
-
-def _in_bloom(tokens: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    found = np.ones(len(tokens), bool)
-    for shift in (0, 32):
-        p = (tokens >> _U(shift)) & _U(BLOOM_WORDS * 64 - 1)
-        found &= (bloom[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
-    return found
+    counts = docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return bloom.build(counts.where(F.col("n") >= FREQUENT).select("token"))
 
 
-def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, bloom: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, row and position of the index entries of the rows to take."""
     rows = np.repeat(np.arange(len(n)), n)
-    often = _in_bloom(tokens, bloom)
+    often = bloom.holds(frequent, tokens)
     order = np.lexsort((tokens, often, rows))
     tokens, often = tokens[order], often[order]
     position = np.arange(len(tokens)) - at[rows]
@@ -168,7 +162,7 @@ def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarra
     return np.concatenate(keys), np.concatenate(who), np.concatenate(places)
 
 
-def index_entries(docs: DataFrame, k: int, t: Fraction, bloom: np.ndarray, text: str = "text") -> DataFrame:
+def index_entries(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray, text: str = "text") -> DataFrame:
     """key, node, n, position: the prefix index of all distinct sets (a set may be in it more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,22 +170,28 @@ def index_entries(docs: DataFrame, k: int, t: Fraction, bloom: np.ndarray, text:
         for batch in batches:
             for _, _, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 tokens, at, n, node = _sets(data, offsets, k)
-                keys, who, places = _prefixes(tokens, at, n, new(node, n), bloom, t)
+                keys, who, places = _prefixes(tokens, at, n, new(node, n), frequent, t)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(n[who].astype(np.int32)), pa.array(places.astype(np.int32))], ["key", "node", "n", "position"])
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key bigint, node bigint, n int, position int")
 
 
-def token_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """node, tokens (sorted) of every row."""
+def token_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, tokens (sorted) of the wanted documents (node, doc_id). A Bloom filter of fixed size keeps most others from being moved; no texts are."""
+    kept = bloom.build(wanted.select(F.col("node").bitwiseXOR(F.col("doc_id").cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
-                tokens, at, _, node = _sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.view(np.int64)))], ["node", "tokens"])
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
+                tokens, at, n, node = _sets(data, offsets, k)
+                take = bloom.holds(kept, (node ^ ids[first:last]).view(np.uint64))
+                own = np.concatenate([[0], np.cumsum(n[take])])
+                lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(tokens[np.repeat(take, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(ids[first:last][take]), lists], ["node", "doc_id", "tokens"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node bigint, tokens array<bigint>")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "node bigint, doc_id bigint, tokens array<bigint>")
+    return found.join(wanted, ["node", "doc_id"], "left_semi").select("node", "tokens")
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, t: Fraction) -> Column:
@@ -200,6 +200,19 @@ def _may_link(n: Column, p: Column, m: Column, q: Column, t: Fraction) -> Column
     return shared * (t.numerator + t.denominator) >= (n.cast("long") + m) * t.numerator
 
 
+def _few_apart(bits: Column, n: Column, m: Column, t: Fraction) -> Column:
+    """Whether sets of sizes n and m that have so many tokens alone, or more, can be as alike as t."""
+    return bits.cast("long") * (t.numerator + t.denominator) <= (n.cast("long") + m) * (t.denominator - t.numerator)
+
+
+def _by_sketches(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return pairs.join(one, "a").join(two, "b").where(_few_apart(bits, F.col("n_a"), F.col("n_b"), t)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Of the pairs (a, b), those whose sets are as alike as t."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
@@ -212,38 +225,42 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     """doc_id, n_shingles, component_id for every row: documents are linked from the Jaccard index threshold on (exactly, as a fraction)."""
     t = Fraction(threshold)
     digests = written(set_digests(docs, k, doc_id, text), "digests")
-    bloom = frequent_tokens(docs, k, text)
+    frequent = frequent_tokens(docs, k, text)
     by_key = Window.partitionBy("key").orderBy("n", "node")
-    entries = index_entries(docs, k, t, bloom, text)
-    listed = entries.withColumn("others", F.count("*").over(Window.partitionBy("key")) - 1)
+    entries = index_entries(docs, k, t, frequent, text)
+    whole = Window.partitionBy("key")
+    listed = entries.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo != hi").drop("lo", "hi")
     before = F.lag(F.struct("node", "n", "position")).over(by_key)
-    listed = written(listed.where("others > 0").withColumn("before", before).drop("others"), "lists")
+    listed = written(listed.withColumn("before", before), "lists")
+    nodes = written(digests.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
 
-    # the sets of all nodes that share a list with another, from one of their documents each
-    ids = digests.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = ids.join(listed.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = written(token_sets(texts, k).dropDuplicates(["node"]), "sets")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs, by the whole sets of one document for each node."""
+        pairs = written(_by_sketches(pairs, nodes, t), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+        return written(_linked(pairs, token_sets(docs, wanted, k, doc_id, text), t), "links")
 
     # neighbours in each list
     near = listed.where(F.col("before").isNotNull() & (F.col("before.node") != F.col("node")))
     near = near.where(_may_link(F.col("n"), F.col("position"), F.col("before.n"), F.col("before.position"), t))
     near = near.select(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).distinct()
-    links = written(_linked(near, sets, t), "links")
+    links = linked(near)
     joined = written(components(links), "joined")
 
     # all other pairs of a list that aren't in one component
     known = listed.drop("before").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_lists = written(known.join(several, "key"), "open")
+    folded = nodes.select("node", *[reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(j)) for j in range(i, SKETCH, FOLDED)]).alias(f"s{i}") for i in range(FOLDED)])
+    open_lists = written(known.join(several, "key").distinct().join(folded, "node"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.position"), F.col("y.n"), F.col("y.position"), t))
-    apart = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _linked(apart, sets, t)
-    joined = components(links.unionByName(more))
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(FOLDED)])
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.position"), F.col("y.n"), F.col("y.position"), t) & _few_apart(bits, F.col("x.n"), F.col("y.n"), t))
+    apart = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    joined = components(links.unionByName(linked(apart)))
 
     # the components' least ids; documents of one id, and those with equal sets, are one
-    rows = digests.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = digests.drop("sketch").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -96,11 +96,15 @@ class SpanHasher:
 
 def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes outside gap (a table of 256 flags) within each row: row, start, end."""
-    if not len(data):
+    return runs(~gap[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true places within each row: row, start, end."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~gap[data]
-    edge = np.zeros(len(data) + 1, bool)  # a row begins here
+    edge = np.zeros(len(inside) + 1, bool)  # a row begins here
     edge[offsets] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
