@@ -164,7 +164,9 @@ def blocks_of(items: DataFrame, text: str = "text") -> int:
 
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
     """doc_id, copy, n_words, n_hit, items (sorted distinct ids as strings) for every row of docs."""
-    windows = written(item_windows(items, item_id, size=size).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n := blocks_of(items)))), "windows")
+    # a window is told by its terms: rows with one id may have different ones
+    windows = item_windows(items, item_id, size=size).withColumn("number", F.xxhash64("terms")).dropDuplicates(["item_id", "number"])
+    windows = written(windows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n := blocks_of(items)))), "windows")
     found, rows = [], None
     for k in range(n):
         own = windows.where(F.col("block") == k).drop("block")
