@@ -6,8 +6,8 @@ as the threshold asks share a token among their first n - ceil(t n) + 1 (the pre
 among one more. Rare tokens are indexed alone; for frequent ones the prefix is extended and pairs of tokens are
 indexed, where sets are short enough for that (COMBINED; sets near that length have both).
 Sets that meet in the index must fit by length, by what their positions leave to be shared, and by their
-sketches: parities of how many tokens are in each of 1,024 classes, which can't differ in more classes than the
-sets have tokens of their own. Then the whole sets are compared.
+sketches: parities of how many tokens are in each of 1,024 classes (more for large sets), which can't differ in more classes
+than the sets have tokens of their own. Then the whole sets are compared.
 
 Only the components are asked for, so not all pairs of a large group are looked at: neighbours in each
 list are compared first, and then only those pairs of a list that aren't in one component yet. Equal
@@ -37,7 +37,8 @@ from gridtide.llm.spaces import written
 FREQUENT = 32
 #: The longest prefix for which pairs of frequent tokens are indexed.
 COMBINED = 40
-#: 64-bit numbers in a sketch, and in what is carried in lists (folded from the former).
+#: 64-bit numbers in a sketch of a set of fewer than 2,048 tokens, which double with its size (so that classes aren't
+#: fewer than the tokens in which linked sets may differ), and in what is carried in lists (folded from the former).
 SKETCH, FOLDED = 16, 4
 #: Tokens counted at once in a task, and digests of sets that it has seen.
 COUNTED, SEEN = 4_000_000, 1_000_000
@@ -89,10 +90,12 @@ def set_digests(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 tokens, _, n, node = _sets(data, offsets, k)
-                sketch = np.zeros(SKETCH * len(n), np.uint64)
-                place = np.repeat(np.arange(len(n)) * SKETCH, n) + ((tokens >> _U(6)) & _U(SKETCH - 1)).astype(np.int64)
+                long = np.int64(1) << np.maximum(0, np.frexp(n)[1].astype(np.int64) - 11)
+                begins = np.concatenate([[0], np.cumsum(SKETCH * long)])
+                sketch = np.zeros(begins[-1], np.uint64)
+                place = np.repeat(begins[:-1], n) + ((tokens >> _U(6)) & np.repeat((SKETCH * long - 1).astype(np.uint64), n)).astype(np.int64)
                 np.bitwise_xor.at(sketch, place, _U(1) << (tokens & _U(63)))
-                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(sketch.view(np.int64)))
+                sketches = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sketch.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node), sketches], ["doc_id", "n", "node", "sketch"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, sketch array<bigint>")
@@ -139,8 +142,12 @@ def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
     return bloom.build(counts.where(F.col("n") >= FREQUENT).select("token"))
 
 
-def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, row and position of the index entries of the rows to take."""
+def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row, first and position of the index entries of the rows to take.
+
+    first is the place of the (first) token. position is that of a single token, or the one before a pair's second
+    token: sets for which the key is the first that they share have no more in common than what is behind it.
+    """
     rows = np.repeat(np.arange(len(n)), n)
     often = bloom.holds(frequent, tokens)
     order = np.lexsort((tokens, often, rows))
@@ -152,28 +159,29 @@ def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarra
     most = int(COMBINED / (1 - t))
     alone = ~often | (n[rows] * t.denominator >= most * t.numerator)
     single = np.flatnonzero(inside & alone)
-    keys, who, places = [tokens[single]], [rows[single]], [position[single]]
+    keys, who, firsts, places = [tokens[single]], [rows[single]], [position[single]], [position[single]]
     for i in np.flatnonzero(inside & often & (n[rows] * t.numerator <= most * t.denominator)):
         r = rows[i]
         rest = np.arange(i + 1, at[r] + min(prefix[r] + 1, n[r]))
         keys.append(textbytes.mix(tokens[i] * _U(3) + tokens[rest]))
         who.append(np.full(len(rest), r))
-        places.append(np.full(len(rest), position[i]))
-    return np.concatenate(keys), np.concatenate(who), np.concatenate(places)
+        firsts.append(np.full(len(rest), position[i]))
+        places.append(position[rest] - 1)  # of the first two shared tokens
+    return np.concatenate(keys), np.concatenate(who), np.concatenate(firsts), np.concatenate(places)
 
 
 def index_entries(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """key, node, n, position: the prefix index of all distinct sets (a set may be in it more than once)."""
+    """key, node, n, first, position: the prefix index of all distinct sets (a set may be in it more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = _New()
         for batch in batches:
             for _, _, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 tokens, at, n, node = _sets(data, offsets, k)
-                keys, who, places = _prefixes(tokens, at, n, new(node, n), frequent, t)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(n[who].astype(np.int32)), pa.array(places.astype(np.int32))], ["key", "node", "n", "position"])
+                keys, who, firsts, places = _prefixes(tokens, at, n, new(node, n), frequent, t)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(n[who].astype(np.int32)), pa.array(firsts.astype(np.int32)), pa.array(places.astype(np.int32))], ["key", "node", "n", "first", "position"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key bigint, node bigint, n int, position int")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key bigint, node bigint, n int, first int, position int")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,11 +213,17 @@ def _few_apart(bits: Column, n: Column, m: Column, t: Fraction) -> Column:
     return bits.cast("long") * (t.numerator + t.denominator) <= (n.cast("long") + m) * (t.denominator - t.numerator)
 
 
+def _folded(sketch: str, n: Column) -> Column:
+    """A sketch brought to n numbers (a power of two, not above its own)."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, n), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(sketch, j))))
+
+
 def _by_sketches(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    least = F.least(F.size("s_a"), F.size("s_b"))
+    bits = F.aggregate(F.zip_with(_folded("s_a", least), _folded("s_b", least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     return pairs.join(one, "a").join(two, "b").where(_few_apart(bits, F.col("n_a"), F.col("n_b"), t)).select("a", "b")
 
 
@@ -230,7 +244,7 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     entries = index_entries(docs, k, t, frequent, text)
     whole = Window.partitionBy("key")
     listed = entries.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo != hi").drop("lo", "hi")
-    before = F.lag(F.struct("node", "n", "position")).over(by_key)
+    before = F.lag(F.struct("node", "n", "first")).over(by_key)
     listed = written(listed.withColumn("before", before), "lists")
     nodes = written(digests.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
 
@@ -243,15 +257,15 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
 
     # neighbours in each list
     near = listed.where(F.col("before").isNotNull() & (F.col("before.node") != F.col("node")))
-    near = near.where(_may_link(F.col("n"), F.col("position"), F.col("before.n"), F.col("before.position"), t))
+    near = near.where(_may_link(F.col("n"), F.col("first"), F.col("before.n"), F.col("before.first"), t))  # of any key, not only of the first shared one
     near = near.select(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).distinct()
     links = linked(near)
     joined = written(components(links), "joined")
 
     # all other pairs of a list that aren't in one component
-    known = listed.drop("before").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = listed.drop("before", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    folded = nodes.select("node", *[reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(j)) for j in range(i, SKETCH, FOLDED)]).alias(f"s{i}") for i in range(FOLDED)])
+    folded = nodes.select("node", _folded("sketch", F.lit(FOLDED)).alias("s")).select("node", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(FOLDED)])
     open_lists = written(known.join(several, "key").distinct().join(folded, "node"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     bits = reduce(Column.__add__, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(FOLDED)])
