@@ -38,8 +38,10 @@ FREQUENT = 32
 #: The longest prefix for which pairs of frequent tokens are indexed.
 COMBINED = 40
 #: 64-bit numbers in a sketch of a set of fewer than 2,048 tokens, which double with its size (so that classes aren't
-#: fewer than the tokens in which linked sets may differ), and in what is carried in lists (folded from the former).
-SKETCH, FOLDED = 16, 4
+#: fewer than the tokens in which linked sets may differ).
+SKETCH = 16
+#: In lists, sets of so many tokens or more carry so many numbers folded from their sketch, in columns of this name.
+CARRIED = (("s", 0, 4), ("w", 1024, 16), ("v", 4096, 32))
 #: Tokens counted at once in a task, and digests of sets that it has seen.
 COUNTED, SEEN = 4_000_000, 1_000_000
 
@@ -265,10 +267,12 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     # all other pairs of a list that aren't in one component
     known = listed.drop("before", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    folded = nodes.select("node", _folded("sketch", F.lit(FOLDED)).alias("s")).select("node", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(FOLDED)])
+    folded = nodes.select("node", *[F.when(F.col("n") >= least, _folded("sketch", F.lit(many))).alias(c) for c, least, many in CARRIED])
+    folded = folded.select("node", *[F.get(c, F.lit(i)).alias(f"{c}{i}") for c, _, many in CARRIED for i in range(many)])
     open_lists = written(known.join(several, "key").distinct().join(folded, "node"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    bits = reduce(Column.__add__, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(FOLDED)])
+    differ = [reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}{i}").bitwiseXOR(F.col(f"y.{c}{i}"))) for i in range(many)]) for c, _, many in CARRIED]
+    bits = F.greatest(*differ)  # those that not both have are null
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.position"), F.col("y.n"), F.col("y.position"), t) & _few_apart(bits, F.col("x.n"), F.col("y.n"), t))
     apart = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     joined = components(links.unionByName(linked(apart)))

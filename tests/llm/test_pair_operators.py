@@ -258,3 +258,23 @@ def test_pipeline(spark):
     assert not any(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2))
     lines = [x for t in texts.values() for x in t.split("\n") if len(x) >= line_dedup.LEAST_CHARS and x.strip()]
     assert len(lines) == len(set(lines))
+
+
+def test_large_sets(spark):
+    """Sets whose sketches have more numbers than small ones' are compared by these, also with sets of other sizes."""
+    r = random.Random(9)
+    docs = []
+    for n in (900, 1010, 1040, 2045, 4090, 4300, 9000):
+        t = [f"w{r.randrange(3000)}" for _ in range(n)]
+        docs += [t, [*t[: n // 2], "x", *t[n // 2 :], *["y"] * (n // 50)], [w if r.random() > 0.03 else "z" for w in t], t[: n // 2]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in docs)}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = similar_components(spark.createDataFrame(docs, "doc_id long, text string"), k=3, threshold=Fraction(9, 10))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == {i: (len(s), least[i]) for i, s in sets.items()}
+    assert any(i != m for i, m in least.items())
