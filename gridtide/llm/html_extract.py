@@ -4,10 +4,12 @@ Each page's DOM is reduced to the tree of its block elements, siblings of one ki
 (tag, classes, id) merged into one node, so that a list of any length is one slot. Simple
 tree matching aligns that tree with the host's commonest one. Over all pages of the
 host, aligned nodes with (nearly) constant text, or made of links, are the template;
-those whose text varies are the content. Elements that by their kind aren't
-main text (menus, footers, forms, adverts, comments and so on) are template everywhere;
-an article or main element, where a page has one, bounds the content, and a text
-inside it isn't taken for template only because copies of the page are many.
+those whose text varies are the content, inside an article or main element and outside. Where
+list items or paragraphs are one slot, those that (nearly) all pages repeat are template by themselves.
+Pages count once by the text of their article or main element (of all slots, without one), so copies
+of a page don't make its text constant. Where a host has too few pages to tell, an article or main
+element bounds the content. Elements that by their kind aren't
+main text (menus, footers, forms, adverts, comments and so on) are template everywhere.
 
 A null or empty page gives an empty text, and a null url is a host of its own. Markup
 that isn't closed or nests wrongly is repaired as browsers do for paragraphs and lists.
@@ -20,11 +22,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,8 +127,12 @@ def parse(html: str) -> Node:
     return builder.top
 
 
-def slots_of(top: Node) -> tuple[str, dict[str, tuple[str, int, int, bool]]]:
-    """The page's tree of kinds as a string, and by path: text, characters, those in links, whether inside the main element."""
+def _own_text(node: Node) -> str:
+    return " ".join(t for c in node.children if not isinstance(c, Node) and (t := c[0].strip()))
+
+
+def slots_of(top: Node) -> tuple[str, dict[str, tuple[list[str], int, int, bool]]]:
+    """The page's tree of kinds as a string, and by path: texts of its nodes, characters, those in links, whether inside the main element."""
     texts: dict[str, list] = {}
     tree: dict = {}
     todo = [(top, "", tree, False)]
@@ -141,11 +148,12 @@ def slots_of(top: Node) -> tuple[str, dict[str, tuple[str, int, int, bool]]]:
                 if not c.dropped:
                     later.append((c, path, own, inside))
             elif t := c[0].strip():
-                slot[0].append(t)
                 slot[1] += len(t)
                 slot[2] += len(t) * c[1]
+        if t := _own_text(node):
+            slot[0].append(t)
         todo.extend(reversed(later))
-    return _written(tree), {p: (" ".join(t), n, k, i) for p, (t, n, k, i) in texts.items()}
+    return _written(tree), {p: tuple(slot) for p, slot in texts.items()}
 
 
 def _written(tree: dict) -> str:
@@ -208,10 +216,24 @@ def aligned(shape: str, reference: str) -> dict[str, str]:
     return found
 
 
-def _blocks(node: Node, path: str, template: set[str], inside: bool, need_root: bool, out: list[str]) -> None:
-    """Appends the blocks of the content, in page order."""
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+class Wrapper(NamedTuple):
+    """A host's: the commonest tree, its paths that are template and those that are content, and (path, hash) of texts that are template in other slots."""
+
+    reference: str = ""
+    template: frozenset[str] = frozenset()
+    content: frozenset[str] = frozenset()
+    repeated: frozenset[tuple[str, int]] = frozenset()
+
+
+def _blocks(node: Node, path: str, to: dict[str, str], wrapper: Wrapper, inside: bool, need_root: bool, out: list[str]) -> None:
+    """Appends the blocks of the content, in page order; to: the reference's paths of the page's."""
     stack: list = [("node", node, path, inside)]
     run: list[str] = []
+    mixed = {p for p, _ in wrapper.repeated}
 
     def flush():
         if run:
@@ -229,7 +251,9 @@ def _blocks(node: Node, path: str, template: set[str], inside: bool, need_root:
             flush()
             inner = inner or x.root
             own = f"{p}/{x.kind}"
-            told = (inner or not need_root) and (inner and need_root or own not in template)
+            at = to.get(own, own)
+            told = at not in wrapper.template and (inner or not need_root or at in wrapper.content)
+            told = told and not (at in mixed and (at, _text_hash(_own_text(x))) in wrapper.repeated)
             stack.append(("end", None, None, None))
             for c in reversed(x.children):
                 if isinstance(c, Node):
@@ -251,51 +275,87 @@ def _has_root(node: Node) -> bool:
     return False
 
 
-def main_text(html: str, reference: str = "", template: frozenset[str] = frozenset()) -> str:
-    """Blocks joined by newlines; template: the reference's paths that aren't content."""
+def main_text(html: str, wrapper: Wrapper = Wrapper()) -> str:
+    """Blocks joined by newlines."""
     if not html:
         return ""
     top = parse(html)
-    root, own = _has_root(top), set()
-    if template and not root:
-        own = {p for p, q in aligned(slots_of(top)[0], reference).items() if q in template}
+    to = aligned(slots_of(top)[0], wrapper.reference) if wrapper.template or wrapper.content or wrapper.repeated else {}
     out: list[str] = []
-    _blocks(top, "", own, False, root, out)
+    _blocks(top, "", to, wrapper, False, _has_root(top), out)
     return "\n".join(out)
 
 
-_FEATURES = "host string, page long, shape string, slots array<struct<path:string,text:long,chars:long,links:long,inside:boolean>>"
+_FEATURES = "host string, page long, shape string, slots array<struct<path:string,text:long,chars:long,links:long,inside:boolean,whole:boolean>>"
+
+
+def _features(html: str) -> tuple[int, str, list[dict]]:
+    """Hash of the text that tells a page from others, tree, and texts: of whole slots, and of each node of slots that have several."""
+    shape, slots = slots_of(parse(html))
+    main = [(p, t) for p, (t, n, _, inside) in slots.items() if n and inside] or [(p, t) for p, (t, n, _, _) in slots.items() if n]
+    found = []
+    for p, (texts, n, k, inside) in slots.items():
+        if n:
+            found.append({"path": p, "text": _text_hash(" ".join(texts)), "chars": n, "links": k, "inside": inside, "whole": True})
+            if len(texts) > 1:
+                found += [{"path": p, "text": h, "chars": 0, "links": 0, "inside": inside, "whole": False} for h in {*map(_text_hash, texts)}]
+            else:
+                found.append(found[-1] | {"whole": False})
+    return _text_hash(repr(main)), shape, found
+
+
+def _hot(hosts: DataFrame) -> list[str]:
+    """Hosts (of host, pages) with HOT_SHARE of all pages or more."""
+    total = hosts.agg(F.sum("pages")).first()[0] or 0
+    return [r.host for r in hosts.where(F.col("pages") >= F.lit(HOT_SHARE * total)).select("host").collect()]
+
+
+def _parts(host: str, hot: list[str]) -> Column:
+    """Numbers of the parts to which a host's rows are dealt."""
+    return F.when(F.col(host).isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+
+
+def _part(host: str, hot: list[str], *by: str) -> Column:
+    return F.when(F.col(host).isin(hot), F.pmod(F.xxhash64(*by), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
 
 
 def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, pages (how many), reference (its commonest tree), template (array of the reference's paths that are template)."""
+    """host, pages (how many), reference (its commonest tree), template and content (arrays of the reference's paths), repeated (array of path, text)."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for host, page in zip(pdf["_host"], pdf["_html"], strict=True):
-                shape, slots = slots_of(parse(page or ""))
-                rows.append((host, xxhash.xxh64_intdigest(page or "") - (1 << 63), shape, [{"path": p, "text": xxhash.xxh64_intdigest(t) - (1 << 63), "chars": n, "links": k, "inside": i} for p, (t, n, k, i) in slots.items() if n]))
-            yield pd.DataFrame(rows, columns=["host", "page", "shape", "slots"])
+            yield pd.DataFrame([(host, *_features(page or "")) for host, page in zip(pdf["_host"], pdf["_html"], strict=True)], columns=["host", "page", "shape", "slots"])
 
     own = pages.select(host_of(F.col(url)).alias("_host"), F.col(html).alias("_html")).mapInPandas(features, _FEATURES)
     own = written(own, "slots")  # hashes of texts, far smaller than the pages; read three times
     common = own.groupBy("host", "shape").agg(F.count("*").alias("n"))
-    reference = common.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("shape", F.struct("n", "shape")).alias("reference"))
+    reference = written(common.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("shape", F.struct("n", "shape")).alias("reference")), "references")
+    hot = _hot(reference)
 
     @F.pandas_udf("map<string,string>")
     def align(shape: pd.Series, to: pd.Series) -> pd.Series:
         return pd.Series([aligned(a, b) for a, b in zip(shape, to, strict=True)])
 
     pairs = common.select("host", "shape").join(reference.select("host", "reference"), "host").withColumn("to", align("shape", "reference"))
-    # texts of each slot, counted before anything is joined: hosts with many pages are small by then
-    texts = own.select("host", "shape", "page", F.explode("slots").alias("s")).where("not s.inside").groupBy("host", "shape", F.col("s.path").alias("path"), F.col("s.text").alias("text")).agg(F.approx_count_distinct("page", 0.02).alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
-    slots = texts.join(pairs, ["host", "shape"]).withColumn("path", F.coalesce(F.element_at("to", F.col("path")), F.col("path")))
-    by_text = slots.groupBy("host", "path", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    by_slot = by_text.groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    constant = (F.col("n") >= LEAST_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("n"))
-    template = by_slot.where(constant | (F.col("links") >= LINK_SHARE * F.col("chars"))).groupBy("host").agg(F.collect_set("path").alias("template"))  # as many as a tree has paths
-    return reference.join(template, "host", "left")
+    pairs = pairs.withColumn("part", F.explode(_parts("host", hot)))
+    # texts of each slot, each distinct page once, counted before anything is joined
+    each = own.select("host", "shape", "page", F.explode("slots").alias("s")).select("host", "shape", "page", "s.*")
+    once = each.groupBy("host", "shape", "path", "whole", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"), F.max("inside").alias("inside"))
+    sums = [F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("inside").alias("inside")]
+    texts = once.groupBy("host", "shape", "path", "whole", "text").agg(F.count("*").alias("n"), *sums).withColumn("part", _part("host", hot, "text"))
+    slots = texts.join(pairs, ["host", "shape", "part"]).withColumn("path", F.coalesce(F.element_at("to", F.col("path")), F.col("path")))
+    by_text = written(slots.groupBy("host", "path", "whole", "text").agg(F.sum("n").alias("n"), *sums), "texts")
+    by_slot = by_text.where("whole").groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), *sums)
+    enough = F.col("n") >= LEAST_PAGES
+    # a heading of an article may be a link
+    linked = (F.col("links") >= LINK_SHARE * F.col("chars")) & (~F.col("inside") | (enough & ~F.regexp_extract("path", "([^/.]*)[^/]*$", 1).rlike("^h[1-6]$")))
+    by_slot = written(by_slot.withColumn("is_template", (enough & (F.col("most") >= CONSTANT_SHARE * F.col("n"))) | linked), "by_slot")
+    # a text on CONSTANT_SHARE of LEAST_PAGES pages or more has so many itself
+    often = by_text.where(~F.col("whole") & (F.col("n") >= CONSTANT_SHARE * LEAST_PAGES)).select("host", "path", "text", F.col("n").alias("m"))
+    often = often.join(by_slot.where(enough & ~F.col("is_template")).select("host", "path", "n"), ["host", "path"]).where(F.col("m") >= CONSTANT_SHARE * F.col("n"))
+    repeated = often.groupBy("host").agg(F.collect_set(F.struct("path", "text")).alias("repeated"))  # no more than a page has texts, by 1 / CONSTANT_SHARE
+    told = by_slot.groupBy("host").agg(F.collect_set(F.when(F.col("is_template"), F.col("path"))).alias("template"), F.collect_set(F.when(enough & ~F.col("is_template"), F.col("path"))).alias("content"))  # as many as a tree has paths
+    return reference.join(told, "host", "left").join(repeated, "host", "left")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
@@ -303,19 +363,20 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
     fields = [f for f in pages.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField(text, T.StringType(), False)])
     wrappers = written(induce(pages, html, url), "wrappers")
-    total = wrappers.agg(F.sum("pages")).first()[0] or 0
-    hot = [r.host for r in wrappers.where(F.col("pages") >= F.lit(HOT_SHARE * total)).select("host").collect()]
+    hot = _hot(wrappers)
     # a hot host's pages are dealt out by their own hash, and its wrapper to all those parts
-    parts = F.when(F.col("_host").isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    wrappers = wrappers.select(F.col("host").alias("_host"), F.col("reference").alias("_reference"), F.coalesce("template", F.array().cast("array<string>")).alias("_template"))
-    wrappers = wrappers.withColumn("_part", F.explode(parts))
-    part = F.when(F.col("_host").isin(hot), F.pmod(F.xxhash64(*[f.name for f in fields]), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    wrappers = wrappers.select(F.col("host").alias("_host"), F.struct("reference", "template", "content", "repeated").alias("_wrapper")).withColumn("_part", F.explode(_parts("_host", hot)))
+
+    def wrapper_of(row: dict | None) -> Wrapper:
+        if not row:
+            return Wrapper()
+        return Wrapper(row["reference"] or "", frozenset(row["template"] or ()), frozenset(row["content"] or ()), frozenset((r["path"], r["text"]) for r in row["repeated"] or ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (html, "_reference", "_template")]
-            got = [main_text(h or "", r or "", frozenset(t or ())) for h, r, t in zip(*columns, strict=True)]
+            columns = [batch.column(c).to_pylist() for c in (html, "_wrapper")]
+            got = [main_text(h or "", wrapper_of(w)) for h, w in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(got, pa.string())], [*[f.name for f in fields], text])
 
-    named = pages.select(*[f.name for f in fields]).withColumn("_host", host_of(F.col(url))).withColumn("_part", part)
-    return named.join(wrappers, ["_host", "_part"], "left").select(*[f.name for f in fields], "_reference", "_template").mapInArrow(run, schema)
+    named = pages.select(*[f.name for f in fields]).withColumn("_host", host_of(F.col(url))).withColumn("_part", _part("_host", hot, *[f.name for f in fields]))
+    return named.join(wrappers, ["_host", "_part"], "left").select(*[f.name for f in fields], "_wrapper").mapInArrow(run, schema)

@@ -170,6 +170,14 @@ def test_copies_stay_whole(spark):
     assert {r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same\nSame text"}
 
 
+def test_template_decides_inside_and_outside_articles(spark):
+    page = "<body><div class=lead><p>Lead %s</p></div><div class=foot><p>All rights kept</p></div><article><h1>Title %s</h1><p>Our offer for readers</p><p>Body %s</p><div class=x><p>Press the key</p></div></article></body>"
+    rows = [(i, "http://a.b/c", page % (i, i, i)) for i in range(6)] + [(6, "http://a.b/c", page % (0, 0, 0)), (7, "http://few.pages/", page % (7, 7, 7))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(7)] == [f"Lead {i % 6}\nTitle {i % 6}\nBody {i % 6}" for i in range(7)]
+    assert got[7] == "Title 7\nOur offer for readers\nBody 7\nPress the key"
+
+
 # ---- op5
 
 
