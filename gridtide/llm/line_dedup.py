@@ -1,9 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of LEAST_CHARS characters or more that are equal, or within a few edits of one another,
+Lines that are equal, or within a few edits of one another,
 form classes (chains of such links included); of each class the line that comes first by document id and
 line number stays, and the others go. So many edits are allowed as the shorter line's length gives: one from
-LEAST_CHARS on, two from TWO_EDITS on. Shorter lines, and blank ones, always stay.
+ONE_EDIT on, two from TWO_EDITS on; shorter lines must be equal. Blank lines (of white space alone) always stay.
 
 A line is cut into one segment more than edits allowed; a line within that distance holds one of
 the segments unchanged, nearly at its place. Segments are indexed with the line's length and their number, and
@@ -33,8 +33,9 @@ from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
 from gridtide.llm.spaces import written
 
-LEAST_CHARS, TWO_EDITS = 24, 48
+LEAST_CHARS, ONE_EDIT, TWO_EDITS = 1, 24, 48
 MOST_EDITS = 2
+BLANK = " \t\r\x0b\f"
 
 _U = np.uint64
 _CODE = textbytes.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -42,14 +43,14 @@ _CODE = textbytes.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 def edits_allowed(n):
     """Of a line of n characters (a number or an array)."""
-    return np.where(n >= TWO_EDITS, 2, np.where(n >= LEAST_CHARS, 1, 0))
+    return np.where(n >= TWO_EDITS, 2, np.where(n >= ONE_EDIT, 1, 0))
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, copy (hash of the text), line (from 0), node, check (hashes of the line), chars: lines of LEAST_CHARS characters or more, but blank ones."""
+    """doc_id, copy (hash of the text), line (from 0), node, check (hashes of the line), chars: all lines but blank ones."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line", "_text"))
     chars = F.length("_text")
-    return each.where((chars >= LEAST_CHARS) & (F.length(F.trim("_text")) > 0)).select("doc_id", "copy", "line", F.xxhash64("_text").alias("node"), F.hash("_text").alias("check"), chars.alias("chars"))
+    return each.where((chars >= LEAST_CHARS) & (F.length(F.trim("_text", F.lit(BLANK))) > 0)).select("doc_id", "copy", "line", F.xxhash64("_text").alias("node"), F.hash("_text").alias("check"), chars.alias("chars"))
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -64,7 +65,7 @@ def segments(n: int) -> list[tuple[int, int]]:
 def lookups(n: int) -> list[tuple[int, int, int, int, bool]]:
     """(length, segment's number, start, end, whether it's the line's own segment) of what a line of n characters looks up."""
     found = []
-    for size in range(max(LEAST_CHARS, n - MOST_EDITS), n + 1):
+    for size in range(max(ONE_EDIT, n - MOST_EDITS), n + 1):
         more, k = n - size, int(edits_allowed(size))
         if more > k:
             continue
@@ -75,7 +76,7 @@ def lookups(n: int) -> list[tuple[int, int, int, int, bool]]:
 
 
 def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, node, indexed: segments and look-ups of all lines (a line may come more than once)."""
+    """key, node, indexed: segments and look-ups of all lines for which edits are allowed (a line may come more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[np.ndarray, ...]] = {}
@@ -86,7 +87,7 @@ def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                 nodes, lines = [], []
                 for t in col.slice(first, last - first).to_pylist():
                     for x in t.split("\n"):
-                        if len(x) >= LEAST_CHARS and x.strip(" "):
+                        if len(x) >= ONE_EDIT and x.strip(BLANK):
                             node = xxhash.xxh64_intdigest(x.encode(), seed=42)  # as Spark's xxhash64
                             if node not in seen:
                                 seen.add(node)
@@ -192,7 +193,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 found: dict[int, str] = {}
                 for t in col.slice(first, last - first).to_pylist():
                     for x in t.split("\n"):
-                        if len(x) >= LEAST_CHARS:
+                        if len(x) >= ONE_EDIT:
                             found.setdefault(xxhash.xxh64_intdigest(x.encode(), seed=42), x)
                 keys = np.array(list(found), np.uint64)
                 take = bloom.holds(kept, keys)

@@ -124,6 +124,13 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted(((x.doc_id, x.text) for x in dedup_lines(df).collect()), key=repr) == sorted([(None, line + "!"), (None, None), (1, ""), (1, ""), (2, "")], key=repr)
 
 
+def test_short_lines(spark):
+    """Equal ones go, whatever their length; one edit apart they stay, and so do blank ones."""
+    df = spark.createDataFrame([(1, "x\nShare\n\t\n\nThanks a lot, all of you"), (2, "Share\nshare\n\t\n\nx\nx \nThanks a lot, all of you"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in dedup_lines(df).collect()}
+    assert got == {1: ("x\nShare\n\t\n\nThanks a lot, all of you", 0, 0), 2: ("share\n\t\n\nx ", 3, 0), 3: ("", 1, 0)}
+
+
 # ---- op6
 
 
