@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.decontaminate import find_contamination
 from gridtide.llm.line_dedup import dedup_lines
-from gridtide.llm.ngram_join import similar_components
+from gridtide.llm.ngram_join import repeated
 from gridtide.llm.op5 import default_model
 from gridtide.llm.op10 import lexicon_of
 from gridtide.llm.sentencepiece_codec import encode
@@ -38,9 +38,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a Jaccard index of 0.8 or more, that of the least id stays."""
-    others = similar_components(docs, k=5, threshold=Fraction(4, 5)).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by five-word shingles with a Jaccard index of 0.8 or more, that of the least id stays (null ids come last, by the text's hash)."""
+    others = repeated(docs, k=5, threshold=Fraction(4, 5)).select(F.col("doc_id").alias("_id"), F.coalesce("copy", F.lit(0)).alias("copy"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0) == F.col("copy"))
+    return docs.join(others, same, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

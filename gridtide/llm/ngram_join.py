@@ -15,7 +15,8 @@ sets are one node from the beginning. Which tokens are frequent is told by a Blo
 wrong answer of it puts a token elsewhere in the order, for all documents alike, and loses nothing.
 
 Nodes are 64-bit digests of sets. Null and empty texts have empty sets, linked with nothing; rows
-with one id are one document; rows with a null id have a null component. Every row is kept.
+with one id are one document. Rows with a null id are documents told by their texts; they link as others do, and
+their component id is null (repeated() tells which of them are copies). Every row is kept.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def set_digests(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, node, sketch for every row."""
+    """doc_id, copy (hash of the text), n, node, sketch for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +99,10 @@ def set_digests(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "te
                 place = np.repeat(begins[:-1], n) + ((tokens >> _U(6)) & np.repeat((SKETCH * long - 1).astype(np.uint64), n)).astype(np.int64)
                 np.bitwise_xor.at(sketch, place, _U(1) << (tokens & _U(63)))
                 sketches = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sketch.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(node), sketches], ["doc_id", "n", "node", "sketch"])
+                own = [batch.column(c).slice(first, last - first) for c in ("doc_id", "copy")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(node), sketches], ["doc_id", "copy", "n", "node", "sketch"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, sketch array<bigint>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, copy bigint, n bigint, node bigint, sketch array<bigint>")
 
 
 class _New:
@@ -187,7 +189,7 @@ def index_entries(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray, te
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, tokens (sorted) of the wanted documents (node, doc_id). A Bloom filter of fixed size keeps most others from being moved; no texts are."""
+    """node, tokens (sorted) of the wanted documents (node, doc_id; 0 stands for null). A Bloom filter of fixed size keeps most others from being moved; no texts are."""
     kept = bloom.build(wanted.select(F.col("node").bitwiseXOR(F.col("doc_id").cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +203,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(ids[first:last][take]), lists], ["node", "doc_id", "tokens"])
 
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "node bigint, doc_id bigint, tokens array<bigint>")
-    return found.join(wanted, ["node", "doc_id"], "left_semi").select("node", "tokens")
+    return found.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "tokens")
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, t: Fraction) -> Column:
@@ -239,6 +241,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: documents are linked from the Jaccard index threshold on (exactly, as a fraction)."""
+    # the components' least ids; documents of one id, and those with equal sets, are one
+    component = F.when(F.col("n") > 0, F.least("least", "doc_id")).otherwise(F.col("doc_id"))
+    return _grouped(docs, k, threshold, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def repeated(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, copy (null, or where the id is null the text's hash) of documents that aren't the first of their component: the one of least id, or if all ids are null of least hash."""
+    of_null = F.col("least").isNotNull() | (F.col("copy") > F.col("least_copy"))
+    rows = _grouped(docs, k, threshold, doc_id, text).where((F.col("n") > 0) & F.when(F.col("doc_id").isNull(), of_null).otherwise(F.col("least") < F.col("doc_id")))
+    return rows.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("copy")).alias("copy")).distinct()
+
+
+def _grouped(docs: DataFrame, k: int, threshold: Fraction, doc_id: str, text: str) -> DataFrame:
+    """doc_id, copy, n, least and least_copy (of the component's ids and hashes) for every row."""
     t = Fraction(threshold)
     digests = written(set_digests(docs, k, doc_id, text), "digests")
     frequent = frequent_tokens(docs, k, text)
@@ -248,7 +264,7 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     listed = entries.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo != hi").drop("lo", "hi")
     before = F.lag(F.struct("node", "n", "first")).over(by_key)
     listed = written(listed.withColumn("before", before), "lists")
-    nodes = written(digests.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = written(digests.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs, by the whole sets of one document for each node."""
@@ -277,8 +293,6 @@ def similar_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     apart = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     joined = components(links.unionByName(linked(apart)))
 
-    # the components' least ids; documents of one id, and those with equal sets, are one
     rows = digests.drop("sketch").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("copy").alias("least_copy"))
+    return rows.join(least, "component", "left")

@@ -243,6 +243,20 @@ def test_ngram_join_without_rows(spark):
     assert row.component_id is None
 
 
+def test_null_ids_link(spark):
+    r = random.Random(10)
+    t, other = words(r, 60), words(r, 60)
+    changed = [" ".join([*x[:30], "new", *x[31:]]) for x in (t, other)]
+    docs = [(None, " ".join(t)), (None, changed[0]), (None, " ".join(t)), (7, " ".join(other)), (None, changed[1]), (8, None), (None, None), (None, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = similar_components(df, 5, Fraction(4, 5)).collect()
+    assert sorted((x.n_shingles, x.component_id) for x in got if x.doc_id is not None) == [(0, 8), (56, 7)]
+    assert [x.component_id for x in got if x.doc_id is None] == [None] * 6
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, df, DATA).collect()]
+    assert {x for _, x in kept} - {" ".join(t), changed[0]} == {" ".join(other), None, "alone"}
+    assert len({x for _, x in kept} & {" ".join(t), changed[0]}) == 1
+
+
 # ---- the pipeline
 
 
