@@ -11,14 +11,20 @@ of a page don't make its text constant. Where a host has too few pages to tell,
 element bounds the content. Elements that by their kind aren't
 main text (menus, footers, forms, adverts, comments and so on) are template everywhere.
 
+Trees are aligned down to MOST_DEPTH levels; text that stands deeper belongs to the node of that level.
+Levels of very many different kinds (PAIRED pairs) are aligned by equal kinds alone.
+
 A null or empty page gives an empty text, and a null url is a host of its own. Markup
-that isn't closed or nests wrongly is repaired as browsers do for paragraphs and lists.
+that isn't closed or nests wrongly is repaired as browsers do for paragraphs and lists, and odd declarations
+are comments, as they are there. Pages may nest elements to any depth.
 Every row is kept, repeated ones too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -48,23 +54,62 @@ _LANDMARK = frozenset("navigation banner contentinfo complementary search form a
 
 #: A slot is template from so many distinct pages of a host on, if so large a share has the same text, or is links.
 LEAST_PAGES, CONSTANT_SHARE, LINK_SHARE = 4, 0.8, 0.6
+#: Levels of a tree that are aligned, and pairs of a level's nodes from which on only nodes of one kind are aligned.
+MOST_DEPTH, PAIRED = 64, 1_000_000
 #: Hosts with so large a share of all pages (fewer than its inverse, then) are dealt to so many parts.
 HOT_SHARE, HOT_PARTS = 0.002, 128
 
 
 class Node:
-    __slots__ = ("tag", "kind", "children", "dropped", "root")
+    __slots__ = ("tag", "kind", "children", "dropped", "root", "inside", "in_article")
 
-    def __init__(self, tag: str, kind: str, dropped: bool, root: bool):
+    def __init__(self, tag: str, kind: str, dropped: bool, root: bool, above: Node | None = None):
         self.tag, self.kind, self.dropped, self.root = tag, kind, dropped, root
+        self.inside = root or (above is not None and above.inside)
+        self.in_article = (root and tag == "article") or (above is not None and above.in_article)
         self.children: list = []  # nodes, and (text, in a link)
 
 
+def kind_of(tag: str, names: list[str]) -> str:
+    """What tells elements of one tag apart: classes and id without digits and signs that trees are written with; long ones by their hash."""
+    kind = re.sub(r"[\d(),/]+", "", ".".join([tag, *names]))
+    return kind if len(kind) <= 60 else f"{tag}.{xxhash.xxh64_hexdigest(kind)}"
+
+
+_COMMENT_END = re.compile(r"--!?>")
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.top = Node("html", "html", False, False)
-        self.stack, self.links = [self.top], 0
+        self.stack, self.open, self.links = [self.top], Counter(), 0
+        self.last_gt = -1
+
+    def read(self, html: str) -> Node:
+        self.last_gt = html.rfind(">")
+        self.feed(html)
+        self.last_gt = self.rawdata.rfind(">")
+        self.close()
+        return self.top
+
+    # what isn't closed goes on to the end, and each declaration is a comment but <!-- --> up to the next >
+    def parse_comment(self, i, report=1):
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i) + 1
+        m = _COMMENT_END.search(self.rawdata, i + 4)
+        return m.end() if m else len(self.rawdata)
+
+    def _up_to_gt(self, i, report=1):
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    parse_html_declaration = parse_pi = parse_marked_section = parse_bogus_comment = _up_to_gt
+
+    def parse_starttag(self, i):
+        return super().parse_starttag(i) if i < self.last_gt else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        return super().parse_endtag(i) if i < self.last_gt else len(self.rawdata)
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -83,15 +128,21 @@ class _Builder(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop", "hidden", "aria-hidden")}
         name = f"{a.get('class', '')} {a.get('id', '')}".lower()
-        inside = any(n.root for n in self.stack)
+        above = self.stack[-1]
         root = tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody"
-        dropped = tag in DROPPED or (tag == "header" and not inside) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in _LANDMARK or (tag not in ("article", "main") and bool(name.strip()) and bool(_ROLE.search(name)))
-        if tag == "article" and any(n.root and n.tag == "article" for n in self.stack) and _ROLE.search(name):
+        dropped = tag in DROPPED or (tag == "header" and not above.inside) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in _LANDMARK or (tag not in ("article", "main") and bool(name.strip()) and bool(_ROLE.search(name)))
+        if tag == "article" and above.in_article and _ROLE.search(name):
             dropped = True  # a comment inside the article
-        node = Node(tag, re.sub(r"\d+", "", ".".join([tag, *name.split()])), dropped, root and not dropped)
-        self.stack[-1].children.append(node)
+        node = Node(tag, kind_of(tag, name.split()), dropped, root and not dropped, above)
+        above.children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
+
+    def _cut(self, i: int) -> None:
+        for n in self.stack[i:]:
+            self.open[n.tag] -= 1
+        del self.stack[i:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -99,9 +150,11 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tags, stop):
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in stop:
                 return
@@ -109,10 +162,10 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS and self.open[tag]:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag == tag:
-                    del self.stack[i:]
+                    self._cut(i)
                     self.links = 0
                     return
 
@@ -121,32 +174,34 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.top
+    return _Builder().read(html)
 
 
 def _own_text(node: Node) -> str:
     return " ".join(t for c in node.children if not isinstance(c, Node) and (t := c[0].strip()))
 
 
+def _step(path: str, node: Node, depth: int) -> str:
+    """The path of a node below the one of a path."""
+    return f"{path}/{node.kind}" if depth < MOST_DEPTH else path
+
+
 def slots_of(top: Node) -> tuple[str, dict[str, tuple[list[str], int, int, bool]]]:
     """The page's tree of kinds as a string, and by path: texts of its nodes, characters, those in links, whether inside the main element."""
     texts: dict[str, list] = {}
     tree: dict = {}
-    todo = [(top, "", tree, False)]
+    todo = [(top, "", tree, 0)]
     while todo:
-        node, above, branch, inside = todo.pop()
-        path = f"{above}/{node.kind}"
-        own = branch.setdefault(node.kind, {})
-        inside = inside or node.root
-        slot = texts.setdefault(path, [[], 0, 0, inside])
+        node, above, branch, depth = todo.pop()
+        path, own = _step(above, node, depth), branch
+        if depth < MOST_DEPTH:
+            own = branch.setdefault(node.kind, {})
+        slot = texts.setdefault(path, [[], 0, 0, node.inside])
         later = []
         for c in node.children:
             if isinstance(c, Node):
                 if not c.dropped:
-                    later.append((c, path, own, inside))
+                    later.append((c, path, own, depth + 1))
             elif t := c[0].strip():
                 slot[1] += len(t)
                 slot[2] += len(t) * c[1]
@@ -181,6 +236,9 @@ def _tree_match(a: tuple, b: tuple) -> tuple[int, tuple]:
     if a[0].split(".")[0] != b[0].split(".")[0]:
         return 0, ()
     x, y = a[1], b[1]
+    if len(x) * len(y) > PAIRED:
+        pairs = _same_kinds([k for k, _ in x], [k for k, _ in y])
+        return 1 + sum(_tree_match(x[i], y[j])[0] for i, j in pairs), tuple(pairs)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
@@ -199,6 +257,24 @@ def _tree_match(a: tuple, b: tuple) -> tuple[int, tuple]:
     return 1 + best[len(x)][len(y)], tuple(pairs[::-1])
 
 
+def _same_kinds(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The most pairs of equal kinds, each of which is once in a level, in the order of both: a longest rising sequence."""
+    place = {k: j for j, k in enumerate(y)}
+    pairs = [(i, place[k]) for i, k in enumerate(x) if k in place]
+    ends: list[int] = []  # the least place at which a sequence of each length ends, and which pair that is
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 @lru_cache(50_000)
 def aligned(shape: str, reference: str) -> dict[str, str]:
     """The reference's path for each path of a page's tree that tree matching aligns."""
@@ -229,9 +305,9 @@ class Wrapper(NamedTuple):
     repeated: frozenset[tuple[str, int]] = frozenset()
 
 
-def _blocks(node: Node, path: str, to: dict[str, str], wrapper: Wrapper, inside: bool, need_root: bool, out: list[str]) -> None:
+def _blocks(node: Node, path: str, to: dict[str, str], wrapper: Wrapper, need_root: bool, out: list[str]) -> None:
     """Appends the blocks of the content, in page order; to: the reference's paths of the page's."""
-    stack: list = [("node", node, path, inside)]
+    stack: list = [("node", node, path, 0)]
     run: list[str] = []
     mixed = {p for p, _ in wrapper.repeated}
 
@@ -242,22 +318,21 @@ def _blocks(node: Node, path: str, to: dict[str, str], wrapper: Wrapper, inside:
             run.clear()
 
     while stack:
-        what, x, p, inner = stack.pop()
+        what, x, p, depth = stack.pop()
         if what == "text":
             run.append(x)
         elif what == "end":
             flush()
         elif not x.dropped:
             flush()
-            inner = inner or x.root
-            own = f"{p}/{x.kind}"
+            own = _step(p, x, depth)
             at = to.get(own, own)
-            told = at not in wrapper.template and (inner or not need_root or at in wrapper.content)
+            told = at not in wrapper.template and (x.inside or not need_root or at in wrapper.content)
             told = told and not (at in mixed and (at, _text_hash(_own_text(x))) in wrapper.repeated)
             stack.append(("end", None, None, None))
             for c in reversed(x.children):
                 if isinstance(c, Node):
-                    stack.append(("node", c, own, inner))
+                    stack.append(("node", c, own, depth + 1))
                 elif told:
                     stack.append(("text", c[0], None, None))
         else:
@@ -282,7 +357,7 @@ def main_text(html: str, wrapper: Wrapper = Wrapper()) -> str:
     top = parse(html)
     to = aligned(slots_of(top)[0], wrapper.reference) if wrapper.template or wrapper.content or wrapper.repeated else {}
     out: list[str] = []
-    _blocks(top, "", to, wrapper, False, _has_root(top), out)
+    _blocks(top, "", to, wrapper, _has_root(top), out)
     return "\n".join(out)
 
 

@@ -2,9 +2,12 @@
 
 Ordinary words fall into long pieces of a byte-pair vocabulary; random strings don't.
 A run of key characters with few characters per token is reported as `token` unless
-it is a digest of a known length, a UUID, or an identifier made of words.
+it is a digest of a known length, a UUID, or an identifier made of words. A word of an
+identifier with LONG_WORD letters or more must be efficient itself, so that random letters of one case
+aren't taken for a word.
 
-Null texts count as empty and have no spans. Every row is kept, repeated ones too.
+Null texts count as empty and have no spans. Every row is kept, repeated ones too. The work grows in
+proportion to a text's length (n log n in that of a run), whatever is in it.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _PART = re.compile(r"[+/_=-]+")
-#: A part of an identifier: a number, or one or more words (lower case, upper case or capitalised) and at most four digits.
-_WORDS = re.compile(r"[0-9]+|(?:[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,})+)?[0-9]{0,4}")
+#: A part of an identifier: a number, or one or more words (lower case, upper case or capitalised) and at most four digits. Each letter can be taken in one way only, so there is no backtracking.
+_WORDS = re.compile(r"[0-9]+|(?:[a-z]|[A-Z]+|(?:[a-z]{2,})?(?:[A-Z][a-z]{2,})*)[0-9]{0,4}")
+#: From so many letters on a word must have so many characters a token.
+LONG_WORD, WORD_CHARS_PER_TOKEN = 16, 2.0
+_LONG_WORD = re.compile(r"[a-z]{%d,}|[A-Z]{%d,}" % (LONG_WORD, LONG_WORD))
 
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)]),
@@ -49,9 +55,13 @@ def token_encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_excluded(run: str) -> bool:
+def is_excluded(run: str, encoding) -> bool:
     """Known digests, UUIDs and identifiers made of words."""
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or all(_WORDS.fullmatch(p) for p in _PART.split(run))
+    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
+        return True
+    if not all(_WORDS.fullmatch(p) for p in _PART.split(run)):
+        return False
+    return all(len(w) >= WORD_CHARS_PER_TOKEN * len(encoding.encode_ordinary(w)) for w in _LONG_WORD.findall(run))
 
 
 def spans_of(text: str, encoding, most_chars_per_token: float) -> list[tuple[int, int, int]]:
@@ -64,7 +74,7 @@ def spans_of(text: str, encoding, most_chars_per_token: float) -> list[tuple[int
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
         run = m.group()
-        if not is_excluded(run) and len(run) < most_chars_per_token * len(encoding.encode_ordinary(run)):
+        if not is_excluded(run, encoding) and len(run) < most_chars_per_token * len(encoding.encode_ordinary(run)):
             found.append((m.start(), 3, m.end()))
     found.sort()
     return found
