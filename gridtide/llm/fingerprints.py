@@ -87,30 +87,34 @@ def rarity_ranks(counts: Iterable[tuple[int, int]]) -> np.ndarray:
     return ranks
 
 
+def _chosen(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Beginnings of the windows with VOTES votes or more."""
+    bins = entropy_bins(data)
+    if not len(bins):
+        return np.zeros(0, np.int64)
+    at = np.arange(len(bins), dtype=np.int64)
+    key = (np.where(_fitting(offsets, len(bins)), ranks[bins], _NONE) << 22) + at
+    # runs also begin before the first window and reach beyond the last; texts are further apart than a run is long
+    best = np.concatenate([np.full(RUN - 1, _NONE << 22), key, np.full(RUN - 1, _NONE << 22)])
+    step = 1
+    while step < RUN:
+        best = np.minimum(best[:-step], best[step:])
+        step *= 2
+    best = best[best < _NONE << 22]
+    return np.flatnonzero(np.bincount(best & ((1 << 22) - 1), minlength=len(bins)) >= VOTES) if len(best) else np.zeros(0, np.int64)
+
+
 def _features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each feature, by row and then place, each once a row."""
-    starts = np.zeros(0, np.int64)
-    bins = entropy_bins(data)
-    if len(bins):
-        at = np.arange(len(bins), dtype=np.int64)
-        key = (np.where(_fitting(offsets, len(bins)), ranks[bins], _NONE) << 22) + at
-        # runs also begin before the first window and reach beyond the last; texts are further apart than a run is long
-        best = np.concatenate([np.full(RUN - 1, _NONE << 22), key, np.full(RUN - 1, _NONE << 22)])
-        step = 1
-        while step < RUN:
-            best = np.minimum(best[:-step], best[step:])
-            step *= 2
-        best = best[best < _NONE << 22]
-        votes = np.bincount(best & ((1 << 22) - 1), minlength=len(bins)) if len(best) else np.zeros(0, np.int64)
-        starts = np.flatnonzero(votes >= VOTES)
+    starts = _chosen(data, offsets, ranks)
     rows = np.searchsorted(offsets, starts, "right") - 1
     sizes = np.diff(offsets)
     long = sizes[rows] >= SHORT
     rows, starts = rows[long], starts[long]
     ends = starts + WINDOW
-    short = np.flatnonzero((sizes > 0) & (sizes < SHORT))
-    n = np.maximum(1, sizes[short] - TINY + 1)
-    more = np.repeat(short, n)
+    brief = np.flatnonzero((sizes > 0) & (sizes < SHORT))
+    n = np.maximum(1, sizes[brief] - TINY + 1)
+    more = np.repeat(brief, n)
     begin = offsets[more] + np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
     rows, starts, ends = np.concatenate([rows, more]), np.concatenate([starts, begin]), np.concatenate([ends, np.minimum(begin + TINY, offsets[more + 1])])
     hashes = textbytes.SpanHasher(data)(starts, ends)
@@ -123,18 +127,19 @@ def _features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple
     return rows[order], hashes[order]
 
 
-def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """For each text its filters, one a row, as bytes."""
+def digests(texts: list[bytes], ranks: np.ndarray, most: int = textbytes.CHUNK_BYTES) -> list[np.ndarray]:
+    """For each text its filters, one a row, as bytes. Texts are taken together up to `most` bytes, and longer ones in parts of that size; the result doesn't depend on it."""
     out: list[np.ndarray] = []
     first = 0
-    while first < len(texts):  # about a megabyte at a time; at most 4 MB, or one text, by the size of a place
+    while first < len(texts):
         last, size = first + 1, len(texts[first])
-        while last < len(texts) and size + len(texts[last]) <= textbytes.CHUNK_BYTES:
+        while last < len(texts) and size + len(texts[last]) <= most:
             size += len(texts[last])
             last += 1
         own = texts[first:last]
-        if size >= 1 << 22:
-            out.append(_long_digest(own[0], ranks))
+        if size > most:
+            hashes = _features_by_parts(own[0], ranks, most)
+            out += _filters(np.zeros(len(hashes), np.int64), hashes, 1)
         else:
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64)
             rows, hashes = _features(np.frombuffer(b"".join(own), np.uint8), offsets, ranks)
@@ -143,14 +148,18 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _long_digest(text: bytes, ranks: np.ndarray) -> np.ndarray:
-    """A text of over 4 MB, in overlapping parts; a feature of two parts counts once."""
-    part, overlap = 1 << 21, 2 * (WINDOW + RUN)
-    found = [_features(x := np.frombuffer(text[i : i + part + overlap], np.uint8), np.array([0, len(x)]), ranks)[1] for i in range(0, len(text), part)]
+def _features_by_parts(text: bytes, ranks: np.ndarray, size: int) -> np.ndarray:
+    """The features of one text of SHORT bytes or more, part by part: what decides on a window is within a run and a window of it."""
+    margin, found = RUN + WINDOW, []
+    for first in range(0, len(text), size):
+        low = max(0, first - margin)
+        x = np.frombuffer(text[low : first + size + margin], np.uint8)
+        starts = _chosen(x, np.array([0, len(x)], np.int64), ranks)
+        starts = starts[(starts >= first - low) & (starts < first - low + size)]
+        found.append(textbytes.SpanHasher(x)(starts, starts + WINDOW))
     hashes = np.concatenate(found)
-    _, at = np.unique(hashes, return_index=True)
-    hashes = hashes[np.sort(at)]
-    return _filters(np.zeros(len(hashes), np.int64), hashes, 1)[0]
+    _, at = np.unique(hashes, return_index=True)  # each once, where it stands first
+    return hashes[np.sort(at)]
 
 
 def _filters(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> list[np.ndarray]:

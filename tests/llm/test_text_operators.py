@@ -66,11 +66,54 @@ def test_digests_dont_depend_on_neighbours():
     assert fp.likeness(together[-3], together[-3]) == 1.0
 
 
-def test_long_digest_is_like_its_parts():
-    ranks = fp.rarity_ranks([])
-    text = words(5, 9000).encode()
-    a, b = fp.digests([text], ranks)[0], fp._long_digest(text, ranks)
-    assert fp.likeness(a, b) > 0.95
+def brute_features(text, ranks):
+    """The definition, window by window: the first places of distinct features."""
+    n = len(text)
+    if n < fp.SHORT:
+        return list(dict.fromkeys(text[i : i + fp.TINY] for i in range(max(1, n - fp.TINY + 1)))) if n else []
+    bins = [int(fp.entropy_bins(np.frombuffer(text[i : i + fp.WINDOW], np.uint8))[0]) for i in range(n - fp.WINDOW + 1)]
+    votes = [0] * len(bins)
+    for begin in range(-fp.RUN + 1, len(bins)):
+        run = range(max(0, begin), min(len(bins), begin + fp.RUN))
+        votes[min(run, key=lambda i: (ranks[bins[i]], i))] += 1
+    return list(dict.fromkeys(text[i : i + fp.WINDOW] for i, v in enumerate(votes) if v >= fp.VOTES))
+
+
+def brute_filters(features):
+    """Chains of sets of bits, by the same hashes."""
+    chain = []
+    for k, f in enumerate(features):
+        x = np.frombuffer(f, np.uint8)
+        h = int(fp.textbytes.SpanHasher(x)(np.array([0]), np.array([len(x)]))[0])
+        if k % fp.FEATURES == 0:
+            chain.append(set())
+        chain[-1] |= {(h >> (11 * j)) % fp.FILTER_BITS for j in range(fp.HASHES)}
+    return chain
+
+
+def test_digests_equal_brute_force():
+    ranks = fp.rarity_ranks([(b, (b * 37) % 101) for b in range(fp.BINS)])
+    for seed, n in ((1, 3), (2, 12), (3, 25), (4, 200), (5, 700)):
+        text = words(seed, n).encode()
+        (got,) = fp.digests([text], ranks)
+        assert [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in got] == brute_filters(brute_features(text, ranks))
+
+
+def brute_likeness(a, b):
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not a or not b:
+        return float(len(a) == len(b))
+    best = lambda x: max(max(0.0, (len(x & y) - len(x) * len(y) / fp.FILTER_BITS) / (min(len(x), len(y)) - len(x) * len(y) / fp.FILTER_BITS)) for y in b)
+    return sum(len(x) * min(1.0, best(x)) for x in a) / sum(map(len, a))
+
+
+def test_one_definition_at_all_lengths():
+    ranks = fp.rarity_ranks([(b, (b * 53) % 211) for b in range(fp.BINS)])
+    text = (words(5, 900) + " " + words(6, 40) * 5).encode()
+    (whole,) = fp.digests([text], ranks)
+    for most in (200, 333, 1000):
+        (parts,) = fp.digests([text], ranks, most)
+        assert parts.tobytes() == whole.tobytes()
 
 
 def test_op1_next_and_edited(spark, monkeypatch, tmp_path):
@@ -86,7 +129,9 @@ def test_op1_next_and_edited(spark, monkeypatch, tmp_path):
         changed = t[: len(t) - n] + following[1][:n]
         assert got[i].n_chars == len(t)
         assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert got[i].near_next == pytest.approx(fp.likeness(fp.digest_of(got[i].fingerprint), fp.digest_of(got[following[0]].fingerprint)))
+        bits = lambda f: [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in fp.digest_of(f)]
+        assert got[i].near_next == pytest.approx(brute_likeness(bits(got[i].fingerprint), bits(got[following[0]].fingerprint)))
+        assert got[i].near_edited == pytest.approx(brute_likeness(bits(got[i].fingerprint), bits(got[i].edited_fingerprint)))
 
 
 def test_op1_edges(spark, edge, tmp_path):
