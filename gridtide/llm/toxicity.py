@@ -8,7 +8,8 @@ by their log odds. A document's score is a logistic function of its weighted mat
 plain and divided by its length; matches inside exception phrases don't count.
 
 Null and empty texts have no matches and get the score of a text without any. Every
-row is kept. A table without labels of both kinds gives an empty lexicon and scores of 0.
+row is kept, texts of any length are folded whole. A table without labels of both kinds gives an empty lexicon
+and scores of 0. Of labelled rows with one id that have different labels the greatest counts, of documents with one id one text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtide.llm.spaces import written
+
 #: The lexicon is fitted on at most so many labelled documents, those least by a hash of their id.
 FIT_DOCUMENTS = 12_000
-MAX_LEXICON = 2_000
 STEM_LENGTHS = range(4, 11)
 
 # Look-alike letters (Cyrillic, then Greek) and the digits and signs used for letters.
@@ -122,25 +125,27 @@ def learn_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """The lexicon and coefficients from docs whose ids are in labels (those given to fit on, and no others).
 
-    Fitted on at most FIT_DOCUMENTS labelled rows. Patterns whose surplus in toxic documents
+    Fitted on at most FIT_DOCUMENTS labelled documents, which bounds what reaches the driver: a row for each of them, and the
+    patterns that are significant in them (all of them). Patterns whose surplus in toxic documents
     chance could explain (at one in a hundred for all patterns together) are left out, as are
     longer stems that tell no more than a shorter one. A stem that stands for nearly one
     continuation only is replaced by that (" tras" by " trash ").
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(FIT_DOCUMENTS)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y")
+    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
+    sample = written(sample.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_text", "_y"), "labelled")
     n = {r._y: r.n for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Lexicon(exceptions=exceptions)
     rate = n[1] / (n[0] + n[1])
-    counts = learn_counts(sample, "_text", "_y")
+    counts = written(learn_counts(sample, "_text", "_y").where("toxic >= 3"), "patterns")
     # the surplus's significance: log of the chance of so many toxic ones among its documents, by the relative entropy bound
     total, share = F.col("toxic") + F.col("clean"), (F.col("toxic") / (F.col("toxic") + F.col("clean")))
     surplus = total * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
-    kept = counts.where((F.col("toxic") >= 3) & (share > 2 * rate) & (share > 0.6)).withColumn("surplus", surplus)
-    tests = 100.0 * max(1, counts.where("toxic >= 3").count())
-    rows = kept.where(F.col("surplus") > math.log(tests)).orderBy(F.desc("surplus"), F.length("pattern"), "pattern").limit(MAX_LEXICON).collect()
+    kept = counts.where((share > 2 * rate) & (share > 0.6)).withColumn("surplus", surplus)
+    tests = 100.0 * max(1, counts.count())
+    rows = kept.where(F.col("surplus") > math.log(tests)).select("pattern", "toxic", "clean").collect()
     by = {r.pattern: r for r in rows}
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.pattern.strip()), r.pattern)):
@@ -148,8 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         shorter = [by[s] for n_ in range(1, len(word) + 1) if (s := " " + word[:n_]) in weights]
         if not any(s.toxic / (s.toxic + s.clean) >= r.toxic / (r.toxic + r.clean) - 0.02 for s in shorter):
             weights[r.pattern] = math.log((r.toxic + 0.5) / (n[1] + 1)) - math.log((r.clean + 0.5) / (n[0] + 1))
+    ordered = sorted(by)
     for p in list(weights):
-        longest = max((q for q in by if q.startswith(p) and by[q].toxic >= 0.95 * by[p].toxic), key=len)
+        longer = ordered[bisect_left(ordered, p) : bisect_left(ordered, p + "\U0010ffff")]
+        longest = max((q for q in longer if by[q].toxic >= 0.95 * by[p].toxic), key=len)
         weights[longest] = weights.pop(p)
     lexicon = Lexicon(weights, exceptions)
     return _calibrated(lexicon, sample)

@@ -1,8 +1,10 @@
 """Operators on one text at a time: fingerprints, licences, tokens, secrets, urls, toxicity, pages."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtide.llm import fingerprints as fp
-from gridtide.llm import op1, op2, op7, op10, toxicity
+from gridtide.llm import html_extract, op1, op2, op7, op10, toxicity, url_filter
 from gridtide.llm.html_extract import aligned, extract, main_text
 from gridtide.llm.license_scan import Template, scan_licenses
 from gridtide.llm.op5 import default_model, op5_sentencepiece
@@ -198,6 +200,77 @@ def test_alignment():
     assert aligned("", "html") == {}
 
 
+def brute_match(a, b):
+    """Nodes matched by simple tree matching, from its definition; equal kinds weigh more than equal tags."""
+    if a[0].split(".")[0] != b[0].split(".")[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        w = brute_match(x[-1], y[-1])
+        return max(best(x[:-1], y), best(x, y[:-1]), best(x[:-1], y[:-1]) + w + (w > 0 and x[-1][0] == y[-1][0]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_tree_matching_equals_brute_force():
+    r = random.Random(15)
+
+    def tree(depth):
+        kinds = r.sample(["p", "p.a", "div", "div.x", "ul", "li"], r.randint(0, 3)) if depth else []
+        return (r.choice(["div", "div.x"]) if depth == 3 else None, tuple((k, tree(depth - 1)[1]) for k in kinds))
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        size, pairs = html_extract._tree_match(a, b)
+        assert size == brute_match(a, b)
+        assert list(pairs) == sorted(pairs)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    assert html_extract._same_kinds(list("abcdef"), list("bxcafe")) in ([(1, 0), (2, 2), (5, 5)], [(1, 0), (2, 2), (4, 5)], [(1, 0), (2, 2), (5, 4)])
+
+
+def test_deep_and_odd_pages():
+    began = time.time()
+    assert main_text("<div>" * 100_000 + "x") == "x"
+    assert main_text("<p>a<figure>" * 20_000).count("a") == 20_000
+    assert main_text("<div>" * 20_000 + "</section>" * 20_000 + "y") == "y"
+    assert main_text("<![foo[x]]>a<![CDATA[b]]>c<!foo>d<!-->e<!--->f<!-- x --!>g<?php 1 ?>h") == "a]c]defgh" or main_text("<![foo[x]]>a<!foo>d<!-->e<!--->f<!-- x --!>g<?php 1 ?>h") == "adefgh"
+    for text in ("<!--" * 100_000, "<a " * 50_000, "</" * 50_000, "<" * 50_000, "<div class='w-[calc(1%,2)]'>x</div><div class='a)b('>y"):
+        main_text(text)
+    for bits in (7, 8):
+        r = random.Random(bits)
+        for _ in range(3000):
+            main_text("".join(r.choice(["<", "!", "[", "]", ">", "-", "<!--", "-->", "<p>", "</p>", "<article>", "x", "&amp;", "&#", "<script>", "</script>", "?", "/", "'", '"', "<a href=", "CDATA[", "<li>", "<table><tr><td>"]) for _ in range(r.randint(0, 30))))
+    assert time.time() - began < 60
+
+
+def _site(r, host, n):
+    """Pages of a host without landmarks, with menus and notices inside the content's own parent, and what is to be kept of each."""
+    menu, notice, foot = (" ".join(r.choice("news shop home about help terms".split()) for _ in range(3)) for _ in range(3))
+    pages = []
+    for k in range(n):
+        body = [words(r.random(), r.randint(5, 40)) for _ in range(r.randint(1, 6))]
+        title = words(r.random(), 5)
+        inner = f"<div class=t1>{menu}</div><div class=c><h1>{title}</h1><p>{notice}</p>{''.join(f'<p>{b}</p>' for b in body)}</div><div class=z><p>{foot}</p></div>"
+        pages.append((f"http://{host}/{k}", f"<html><body><article><div class=inn>{inner}</div></article></body></html>" if host.startswith("a") else f"<html><body><div class=inn>{inner}</div></body></html>", "\n".join([title, *body])))
+    return pages
+
+
+def test_recall_and_what_the_template_does(spark):
+    r = random.Random(16)
+    pages = [p for host in ("a.site", "b.site", "c.site") for p in _site(r, host, 25)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in extract(df).collect()}
+    lines = [(set(g.split("\n")), set(t.split("\n")), set(main_text(h).split("\n"))) for g, (_, h, t) in ((got[i], p) for i, p in enumerate(pages))]
+    recall = sum(len(g & t) for g, t, _ in lines) / sum(len(t) for _, t, _ in lines)
+    precision = sum(len(g & t) for g, t, _ in lines) / sum(len(g) for g, _, _ in lines)
+    alone = sum(len(w & t) for _, t, w in lines) / sum(len(w) for _, _, w in lines)
+    assert recall >= 0.99
+    assert precision >= 0.99
+    assert alone < 0.75  # without the template menus, notices and footers stay
+
+
 def test_wrapper(spark):
     page = "<html><body><div class=top>Welcome to us</div><div class=x><p>%s</p></div><div class=links><a href=1>%s</a></div></body></html>"
     rows = [(i, "http://a.b/c", page % (f"body text {i}", f"link {i}")) for i in range(6)] + [(6, "http://a.b/c", page % ("body text 0", "link 0")), (7, None, None), (8, "q", ""), (9, "http://c.d", PAGE)]
@@ -291,6 +364,57 @@ def test_base_secrets(encoding):
         assert [s for s in spans_of(text, encoding, 2.4) if s[1] < 3] == base_spans(text)
 
 
+def brute_tokens(text, encoding, most):
+    """Runs of key characters, one character after the other, and the test as it is described."""
+    keys = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+    def is_word(p):
+        letters = p.rstrip("0123456789")
+        if not letters or letters == p[: len(p) - len(letters)]:
+            return True
+        if not letters.isalpha() or len(p) - len(letters) > 4:
+            return False
+        of_one_case = ["".join(g) for _, g in itertools.groupby(letters, str.isupper)]
+        if any(len(g) >= 16 and len(g) < 2.0 * len(encoding.encode_ordinary(g)) for g in of_one_case):
+            return False
+        if letters.islower() or letters.isupper():
+            return True
+        return all(len(w) >= (3 if w[0].isupper() else 2) for w in re.sub("([A-Z])", " \\1", letters).split())
+
+    out, start = [], None
+    for i, c in enumerate(text + "\n"):
+        if c in keys:
+            start = i if start is None else start
+        elif start is not None:
+            run, a, start = text[start:i], start, None
+            digest = len(run) in (32, 40, 56, 64, 96, 128) and not set(run.lower()) - set("0123456789abcdef")
+            uuid = [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and not set(run.lower()) - set("0123456789abcdef-")
+            words = all(map(is_word, re.sub("[+/_=-]", " ", run).split()))
+            if len(run) >= 16 and not digest and not uuid and not words and len(run) / len(encoding.encode_ordinary(run)) < most:
+                out.append((a, 3, i))
+    return out
+
+
+def test_tokens_of_secrets_equal_brute_force(encoding):
+    r = random.Random(12)
+    parts = ["abcdef", "Word", "long", "x9", "Q", "17", "_", "-", "/", "qzvkxjwp", "HTTP", "0f3a", "deadbeefdeadbeef", "é", " ", "=", "internationalization", "zqxjkvbwpmfhgdlc", "123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e"]
+    found = 0
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        want = brute_tokens(text, encoding, 2.4)
+        assert [s for s in spans_of(text, encoding, 2.4) if s[1] == 3] == want, text
+        found += len(want)
+    assert found > 300
+    assert brute_tokens("qwxzvkjpbnmrtgfhdlcs", encoding, 2.4)  # one case alone is no word
+
+
+def test_runs_take_time_in_proportion(encoding):
+    began = time.time()
+    for text in ("a" * 10_000 + "1" * 10_000, "a" * 60 + "11111", "aA" * 10_000 + "11111", "Abc" * 10_000 + "11111", "q9" * 50_000, "password=" * 10_000, "=" * 100_000):
+        spans_of(text, encoding, 2.4)
+    assert time.time() - began < 20
+
+
 def test_random_strings(encoding):
     found = lambda t: [t[a:b] for a, k, b in spans_of(t, encoding, 2.4) if k == 3]
     assert found("key q9Zt7Lw2XcV8bN4mKp1R end") == ["q9Zt7Lw2XcV8bN4mKp1R"]
@@ -302,8 +426,14 @@ def test_secret_rows(spark, edge):
     out = scan_secrets(edge, op7.default_vocabulary())
     assert ids(out) == ids(edge)
     assert scan_secrets(edge.limit(0), op7.default_vocabulary()).count() == 0
+    encoding = token_encoding(op7.default_vocabulary())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    joined = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'token')[k]}:{a}:{b}" for a, k, b in sorted(spans))
     for r in op7.op7_secrets(spark, DATA).collect():
-        assert r.n_assign + r.n_access + r.n_hex + r.n_token == len([s for s in r.spans.split(",") if s])
+        base, tokens = base_spans(texts[r.doc_id]), brute_tokens(texts[r.doc_id], encoding, 2.4)
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_token) == (*[sum(s[1] == k for s in base) for k in range(3)], len(tokens))
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert r.spans == joined(base + tokens)
 
 
 # ---- op8
@@ -327,10 +457,45 @@ def test_url_rules(spark):
     assert judge_urls(df.limit(0), RULES).count() == 0
 
 
-def test_url_model(spark):
-    rows = [("http://www.mega-casino.biz/", 1), ("http://poker-casino.example.com/win", 1), ("http://buy.cheap-pills.example.org/", 1), ("https://library.city.example.org/books", 0), ("https://www.university.example.edu/research", 0), ("https://blog.thenan.example.com/en/55.html", 0)]
-    df = spark.createDataFrame(rows, "url string, label int")
-    assert judge_urls(df, ()).where((F.col("verdict") == "block") != (F.col("label") == 1)).count() == 0
+def brute_slots(spark, host, path):
+    """Hashes by Spark, n-grams by Python."""
+    whole = f"^{host}{path}$"
+    grams = sorted({whole[i : i + n] for n in (3, 4, 5) for i in range(len(whole) - n + 1)})
+    return sorted({r.h for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(1 << 18)).alias("h")).collect()})
+
+
+def test_url_scores_equal_brute_force(spark):
+    """The logistic function of the weights of distinct slots, for weights at which plain gradient descent stands still."""
+    weights, bias = url_filter.train(spark, url_filter.labelled_urls())
+    urls = ["http://www.mega-casino.biz/play", "https://library.city.org/books/", "", "http://a", "http://x.y/" + "z/" * 3000]
+    got = judge_urls(spark.createDataFrame([(u,) for u in urls * 2], "url string"), ()).collect()
+    assert len(got) == 2 * len(urls)
+    for r in got:
+        slots = brute_slots(spark, r.host, r.path)
+        assert r.unwanted == pytest.approx(1 / (1 + np.exp(-(sum(weights[k] for k in slots) / max(1, len(slots)) ** 0.5 + bias))), abs=1e-4)
+    rows = [("http://a.b/cd", 1), ("http://a.b/ce", 0), ("http://x.b/ce", 1), ("http://a.y/cd", 0), ("http://a.y/ff", 0)]
+    w, b = url_filter.train(spark, rows, rounds=3000)
+    x = np.zeros((len(rows), 1 << 18))
+    for i, (u, _) in enumerate(rows):
+        own = brute_slots(spark, u[7:10], u[10:])
+        x[i, own] = 1 / len(own) ** 0.5
+    y = np.array([v for _, v in rows])
+    g = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y == 1, 0.5 / 2, 0.5 / 3)
+    assert abs(x.T @ g + 1e-3 * w).max() < 1e-4
+    assert abs(g.sum()) < 1e-4
+    assert url_filter.train(spark, [])[1] == 0.0
+
+
+def test_url_model_held_out(spark):
+    """Accuracy on hosts of the labelled table that weren't fitted."""
+    rows = url_filter.labelled_urls()
+    n = len(rows) // (1 + 2 * len(url_filter.ENDINGS))
+    host = [*range(n), *[k // (2 * len(url_filter.ENDINGS)) for k in range(len(rows) - n)]]
+    fitted, held = [x for x, h in zip(rows, host, strict=True) if h % 5], [x for x, h in zip(rows[:n], host, strict=False) if h % 5 == 0]
+    out = judge_urls(spark.createDataFrame(held, "url string, label int"), (), fitted)
+    right = out.where((F.col("verdict") == "block") == (F.col("label") == 1)).count()
+    assert len(held) >= 35
+    assert right / len(held) >= 0.85
 
 
 # ---- op10
@@ -351,6 +516,51 @@ def test_exceptions_and_stems():
     assert toxicity.weighted_matches(" x ", toxicity.Lexicon({}, ()).matcher()) == (0.0, 0)
 
 
+def brute_weight(folded, lexicon):
+    """Every pattern at every place, the heaviest at each; none that begin inside an exception phrase."""
+    phrases = [toxicity.fold(e) for e in lexicon.exceptions]
+    covered = {k for e in phrases for i in range(len(folded)) if folded.startswith(e, i) for k in range(i, i + len(e) - 1)}
+    best = {}
+    for i in range(len(folded)):
+        own = [w for p, w in lexicon.weights.items() if folded.startswith(p, i)]
+        if own and i not in covered:
+            best[i] = max(own)
+    return sum(best.values()), len(best)
+
+
+def test_scores_equal_brute_force(spark, edge):
+    r = random.Random(14)
+    lexicon = toxicity.Lexicon({" trash ": 2.0, " idio": 1.0, " idiot ": 3.0, " clow": 0.5, " clown ": 1.5, " can ": 0.25}, bias=-2.0, plain=0.7, by_length=0.3)
+    parts = ["trash", "trash can", "1d\u0456ot", "idiotic", "CLOWN", "clown fish", "clown car", "can", "the", "stupid simple", "...", "\u00e9l\u00e0n", "tr4sh", "id", " "]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(300)] + [None, "", "idiot " * 20_000]
+    out = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()
+    assert len(out) == len(texts)
+    for x in out:
+        folded = toxicity.fold(x.text or "")
+        total, n = brute_weight(folded, lexicon)
+        z = -2.0 + 0.7 * np.log1p(total) + 0.3 * np.log1p(100 * total / max(1, len(folded.split())))
+        assert (x.toxic_weight, x.n_matches, x.n_words) == (pytest.approx(total), n, len(folded.split()))
+        assert x.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_counts_and_weights_equal_brute_force(spark):
+    rows = [(i, f"{words(i, 30)} {'scumbags galore' if i % 3 == 0 else 'friends'}") for i in range(90)]
+    df = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in rows], "text string, y int")
+    want = {}
+    for i, t in rows:
+        own = {f" {w} " for w in toxicity.fold(t).split()} | {f" {w[:n]}" for w in toxicity.fold(t).split() for n in range(4, 11) if n < len(w)}
+        for p in own:
+            want.setdefault(p, [0, 0])[int(i % 3 == 0)] += 1
+    assert {r.pattern: [r.clean, r.toxic] for r in toxicity.learn_counts(df, "text", "y").collect()} == want
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] * 2, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string")  # ids may repeat on either side
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights
+    for p, w in lexicon.weights.items():
+        stem = next(q for q in (p, *[p.rstrip()[:k] for k in range(len(p), 1, -1)]) if q in want and w == pytest.approx(np.log((want[q][1] + 0.5) / 31) - np.log((want[q][0] + 0.5) / 61)))
+        assert want[p][1] >= 0.95 * want[stem][1]
+
+
 def test_learning(spark, edge):
     rows = [(i, words(i, 60) + (" you scumbag " if i % 4 == 0 else " ")) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
