@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridtide.aggregates import canonical
-from gridtide.functions.registry import register
+from gridtide.functions.registry import register, renamed
 from gridtide.functions.select import _checked
 from gridtide.series import SeriesList, key_of, metric_of, nodes_of
 
 
-def _target(sl: SeriesList, col) -> SeriesList:
-    return sl.with_series(sl.series.withColumn("target", col))
+def _target(sl: SeriesList, col: Column, tag: bool = True) -> SeriesList:
+    """Another name, which is the pattern too, and with `tag` the tag `name`."""
+    series = sl.series.withColumns({"target": col, "patt": col})
+    return sl.with_series(series.withColumn("tags", F.map_concat(F.map_filter("tags", lambda k, v: k != "name"), F.create_map(F.lit("name"), F.col("target")))) if tag else series)
 
 
 @register("alias")
@@ -29,7 +32,7 @@ def alias_by_node(sl: SeriesList, *nodes: int | str) -> SeriesList:
 @register("aliasByMetric")
 def alias_by_metric(sl: SeriesList) -> SeriesList:
     """The last node; ;tags stay."""
-    return _target(sl, F.concat(F.element_at(nodes_of(F.col("target")), -1), F.regexp_extract("target", r"(;[^(),]*)", 1)))
+    return _target(sl, F.concat(F.element_at(nodes_of(F.col("target")), -1), F.regexp_extract("target", r"(;[^(),]*)", 1)), tag=False)
 
 
 @register("aliasSub")
@@ -45,13 +48,14 @@ def substr(sl: SeriesList, start: int = 0, stop: int = 0) -> SeriesList:
     n = F.size(nodes)
     first = F.greatest(F.lit(0), n + start if start < 0 else F.lit(start))
     last = n if stop == 0 else F.least(n, n + stop if stop < 0 else F.lit(stop))
-    return _target(sl, F.array_join(F.slice(nodes, first + 1, F.greatest(F.lit(0), last - first)), "."))
+    return _target(sl, F.array_join(F.slice(nodes, first + 1, F.greatest(F.lit(0), last - first)), "."), tag=False)
 
 
 @register("consolidateBy")
 def consolidate_by(sl: SeriesList, how: str) -> SeriesList:
     """How points are consolidated later, and which rollup is read."""
-    return sl.with_series(sl.series.withColumn("consolidator", F.lit(canonical(how))))
+    out = sl.with_series(sl.series.withColumn("consolidator", F.lit(canonical(how))), consolidators=frozenset({canonical(how)}))
+    return renamed(out, f'consolidateBy({{}},"{how}")')
 
 
 @register("cumulative")

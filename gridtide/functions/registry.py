@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridtide.series import SeriesList
@@ -22,13 +23,28 @@ def register(*names: str):
     return keep
 
 
-def renamed(sl: SeriesList, call: str) -> SeriesList:
-    """Targets put into a call: "f({}, 1)"."""
+def called(col: str, call: str) -> Column:
     before, after = call.split("{}")
-    return sl.with_series(sl.series.withColumn("target", F.concat(F.lit(before), "target", F.lit(after))))
+    return F.concat(F.lit(before), col, F.lit(after))
 
 
-def apply(name: str, sl: SeriesList, *args, **kwargs) -> SeriesList:
+def tagged(**tags: str) -> Column:
+    """A series' tags with these put in or replaced."""
+    old = F.map_filter("tags", lambda k, v: ~k.isin(*tags))
+    return F.map_concat(old, F.create_map(*[F.lit(x) for kv in tags.items() for x in kv]))
+
+
+def renamed(sl: SeriesList, call: str, **tags: str) -> SeriesList:
+    """Targets and patterns put into a call, "f({}, 1)", and tags that say so."""
+    series = sl.series.withColumns({"target": called("target", call), "patt": called("patt", call)})
+    return sl.with_series(series.withColumn("tags", tagged(**tags)) if tags else series)
+
+
+class UnknownFunction(KeyError):
+    """No function has this name."""
+
+
+def apply(name: str, *args, **kwargs) -> SeriesList:
     if name not in REGISTRY:
-        raise KeyError(f"no function {name}")
-    return REGISTRY[name](sl, *args, **kwargs)
+        raise UnknownFunction(name)
+    return REGISTRY[name](*args, **kwargs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,16 @@ from gridtide.series import SERIES, SeriesList
 _OPERATORS = {"=": Column.__eq__, "!=": Column.__ne__, ">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
 
 
+def one_list(lists, number: float | None = None) -> tuple[SeriesList, float | None]:
+    """Several lists as one, in order, and the number behind them if there is one."""
+    *lists, last = lists
+    if not isinstance(last, SeriesList):
+        number = last
+    else:
+        lists.append(last)
+    return lists[0] if len(lists) == 1 else group(*lists), number
+
+
 def scores(sl: SeriesList, how: str) -> DataFrame:
     """The series with the aggregate of their points as score; null without values."""
     return sl.series.join(sl.points.groupBy("sid").agg(aggregate(how).alias("score")), "sid", "left")
@@ -38,8 +49,8 @@ for _prefix, _how in (("average", "average"), ("current", "last"), ("maximum", "
 
 
 def _numbered(series: DataFrame, *order: Column) -> DataFrame:
-    """ord by the given order. One task numbers the series (not their points)."""
-    return series.withColumn("ord", F.lpad(F.row_number().over(Window.orderBy(*order)).cast("string"), 12, "0"))
+    """ord by the given order: series are sorted by ranges, and numbers grow from range to range (they aren't consecutive)."""
+    return series.orderBy(*order).withColumn("ord", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
 
 
 def _by_score(reverse: bool) -> list[Column]:
@@ -115,7 +126,8 @@ def group(*lists: SeriesList) -> SeriesList:
         SeriesList(x.series.withColumns({"sid": F.concat(F.lit(f"{i}/"), "sid"), "ord": F.concat(F.lit(f"{i:06d}/"), "ord")}).select(*SERIES), x.points.withColumn("sid", F.concat(F.lit(f"{i}/"), "sid")))
         for i, x in enumerate(lists)
     ]
-    return SeriesList(reduce(DataFrame.unionByName, [x.series for x in tagged]), reduce(DataFrame.unionByName, [x.points for x in tagged]))
+    known = [None if any(getattr(x, what) is None for x in lists) else frozenset().union(*[getattr(x, what) for x in lists]) for what in ("intervals", "consolidators")]
+    return SeriesList(reduce(DataFrame.unionByName, [x.series for x in tagged]), reduce(DataFrame.unionByName, [x.points for x in tagged]), *known)
 
 
 @register("unique")
@@ -127,8 +139,11 @@ def unique(*lists: SeriesList) -> SeriesList:
 
 @register("fallbackSeries")
 def fallback_series(sl: SeriesList, fallback: SeriesList) -> SeriesList:
-    """The other list if this one has no series."""
-    return fallback if sl.series.isEmpty() else sl
+    """The other list if this one has no series; which of them is told when the result is read."""
+    both = group(sl, fallback)
+    nothing = sl.series.agg(F.count("*") == 0).scalar()
+    own = lambda rows: rows.where(F.col("sid").startswith("0/") | nothing)
+    return replace(both, series=own(both.series), points=own(both.points))
 
 
 @register("removeEmptySeries")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gridtide.aggregates import aggregate, over
 from gridtide.functions.registry import register, renamed
+from gridtide.functions.select import one_list
 from gridtide.operators.grid import floor_to
-from gridtide.series import SERIES, SeriesList, finite_or_null, seconds
+from gridtide.series import SeriesList, finite_or_null, seconds
 
 
-def _along(sl: SeriesList, val: Column, call: str) -> SeriesList:
-    return renamed(sl.with_points(sl.points.withColumn("val", finite_or_null(val))), call)
+def _along(sl: SeriesList, val: Column, call: str, **tags: str) -> SeriesList:
+    return renamed(sl.with_points(sl.points.withColumn("val", finite_or_null(val))), call, **tags)
 
 
 def _before(sl: SeriesList) -> Column:
@@ -21,7 +22,7 @@ def _before(sl: SeriesList) -> Column:
 
 @register("derivative")
 def derivative(sl: SeriesList) -> SeriesList:
-    return _along(sl, F.col("val") - _before(sl), "derivative({})")
+    return _along(sl, F.col("val") - _before(sl), "derivative({})", derivative="1")
 
 
 @register("nonNegativeDerivative")
@@ -31,11 +32,13 @@ def non_negative_derivative(sl: SeriesList, max_value: float | None = None) -> S
         sl = sl.with_points(sl.points.withColumn("val", F.when(F.col("val") <= max_value, F.col("val"))))
     v, p = F.col("val"), _before(sl)
     wrap = F.lit(None) if max_value is None else F.lit(max_value + 1.0) + v - p
-    return _along(sl, F.when(v >= p, v - p).when(v < p, wrap), "nonNegativeDerivative({})")
+    return _along(sl, F.when(v >= p, v - p).when(v < p, wrap), "nonNegativeDerivative({})", nonNegativeDerivative="1")
 
 
 @register("perSecond")
-def per_second(sl: SeriesList, max_value: float | None = None) -> SeriesList:
+def per_second(*lists: SeriesList | float, max_value: float | None = None) -> SeriesList:
+    """Growth per second, of one list or several together; a last argument that is a number is max_value."""
+    sl, max_value = one_list(lists, max_value)
     points = sl.points.join(sl.series.select("sid", "interval"), "sid")
     v, p = F.col("val"), _before(sl)
     wrap = F.lit(None) if not max_value else F.when(v <= max_value, max_value + (v - p) + 1)
@@ -46,7 +49,7 @@ def per_second(sl: SeriesList, max_value: float | None = None) -> SeriesList:
 @register("integral")
 def integral(sl: SeriesList) -> SeriesList:
     total = F.sum("val").over(sl.by_series().rowsBetween(Window.unboundedPreceding, 0))
-    return _along(sl, F.when(F.col("val").isNotNull(), total), "integral({})")
+    return _along(sl, F.when(F.col("val").isNotNull(), total), "integral({})", integral="1")
 
 
 @register("keepLastValue")
@@ -70,7 +73,8 @@ def moving_window(sl: SeriesList, window: str | int, how: str = "average", x_fil
     val = F.when((seen > 0) & (seen >= F.lit(x_files_factor) * all_), over(how, frame))
     points = sl.points.withColumn("val", finite_or_null(val))
     out = sl.with_points(points if start is None else points.where(F.col("ts") >= start))
-    return renamed(out, f'moving{how.capitalize()}({{}},"{window}")')
+    name = f"moving{how.capitalize()}"
+    return renamed(out, f'{name}({{}},"{window}")', **{name: str(window)})
 
 
 def _moving(name: str, how: str) -> None:
@@ -85,7 +89,7 @@ for _name, _how in (("movingAverage", "average"), ("movingMax", "max"), ("moving
 
 @register("offsetToZero")
 def offset_to_zero(sl: SeriesList) -> SeriesList:
-    return _along(sl, F.col("val") - F.min("val").over(Window.partitionBy("sid")), "offsetToZero({})")
+    return _along(sl, F.col("val") - F.min("val").over(Window.partitionBy("sid")), "offsetToZero({})", offsetToZero="1")
 
 
 @register("minMax")
@@ -93,7 +97,7 @@ def min_max(sl: SeriesList) -> SeriesList:
     """(v - least) / (greatest - least), 0 if those are equal."""
     w = Window.partitionBy("sid")
     low, high = F.min("val").over(w), F.max("val").over(w)
-    return _along(sl, F.when(F.col("val").isNotNull() & (high == low), 0.0).otherwise((F.col("val") - low) / (high - low)), "minMax({})")
+    return _along(sl, F.when(F.col("val").isNotNull() & (high == low), 0.0).otherwise((F.col("val") - low) / (high - low)), "minMax({})", minMax="1")
 
 
 def _percentile(sl: SeriesList, n: float, above: bool, call: str) -> SeriesList:
@@ -105,7 +109,7 @@ def _percentile(sl: SeriesList, n: float, above: bool, call: str) -> SeriesList:
     limit = ranked.where(F.col("upto") >= rank).groupBy("sid").agg(F.min("val").alias("limit"))
     ok = F.col("val") <= F.col("limit") if above else F.col("val") >= F.col("limit")
     kept = sl.points.join(limit, "sid").withColumn("val", F.when(ok, F.col("val")))
-    return renamed(SeriesList(sl.series.join(limit, "sid", "left_semi").select(*SERIES), kept.select("sid", "ts", "val")), call)
+    return renamed(sl.with_series(sl.series.join(limit, "sid", "left_semi")).with_points(kept), call, nPercentile=f"{n:g}")
 
 
 @register("removeAbovePercentile")
@@ -121,6 +125,7 @@ def remove_below_percentile(sl: SeriesList, n: float) -> SeriesList:
 @register("linearRegression")
 def linear_regression(sl: SeriesList, source_start: int | None = None, source_end: int | None = None) -> SeriesList:
     """The least-squares line of each series' points from source_start up to source_end, at all of its slots; series without a line go."""
+    bounds = "" if source_start is None and source_end is None else f", {source_start}, {source_end}"
     source = sl.points
     if source_start is not None:
         source = source.where(F.col("ts") >= source_start)
@@ -133,14 +138,15 @@ def linear_regression(sl: SeriesList, source_start: int | None = None, source_en
     under = F.col("n") * F.col("sii") - F.col("si") * F.col("si")
     line = s.where(under != 0).select("sid", "t0", "interval", ((F.col("n") * F.col("siv") - F.col("si") * F.col("sv")) / under).alias("slope"), ((F.col("sii") * F.col("sv") - F.col("siv") * F.col("si")) / under).alias("base"))
     out = sl.points.join(line, "sid").withColumn("val", F.col("base") + F.col("slope") * (F.col("ts") - F.col("t0")) / F.col("interval"))
-    return renamed(SeriesList(sl.series.join(line, "sid", "left_semi").select(*SERIES), out.select("sid", "ts", "val")), "linearRegression({})")
+    return renamed(sl.with_series(sl.series.join(line, "sid", "left_semi")).with_points(out), f"linearRegression({{}}{bounds})", linearRegressions=bounds[2:])
 
 
 @register("timeShift")
 def time_shift(sl: SeriesList, shift: str) -> SeriesList:
     """Points of an earlier time (or, with a +, a later one) shown at the present one; the list holds the shifted range."""
-    by = seconds(shift.lstrip("+-")) * (1 if shift.startswith("+") else -1)
-    return renamed(sl.with_points(sl.points.withColumn("ts", F.col("ts") - F.lit(by))), f'timeShift({{}}, "{shift}")')
+    shift = shift if shift[0] in "+-" else f"-{shift}"
+    by = seconds(shift[1:]) * (1 if shift[0] == "+" else -1)
+    return renamed(sl.with_points(sl.points.withColumn("ts", F.col("ts") - F.lit(by))), f'timeShift({{}}, "{shift}")', timeShift=shift)
 
 
 @register("summarize")
@@ -159,7 +165,8 @@ def summarize(sl: SeriesList, interval: str, how: str = "sum", align_to_from: bo
     out = grid.join(sums, ["sid", "slot"], "left").select("sid", F.col("slot").alias("ts"), "val")
     out = out if start is None else out.where(F.col("ts") >= start)
     call = f'summarize({{}}, "{interval}", "{how}"' + (", true)" if align_to_from else ")")
-    return renamed(SeriesList(sl.series.withColumn("interval", F.lit(size)).select(*SERIES), out), call)
+    out_list = sl.with_series(sl.series.withColumn("interval", F.lit(size)), intervals=frozenset({size})).with_points(out)
+    return renamed(out_list, call, summarize=interval, summarizeFunction=how)
 
 
 @register("smartSummarize")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.aggregates import aggregate
-from gridtide.series import POINTS, SERIES, SeriesList
+from gridtide.series import SERIES, SeriesList
 
 
 def ceil_to(ts, interval):
@@ -28,25 +28,29 @@ def quantize(series: DataFrame, raw: DataFrame, start: int, end: int) -> SeriesL
     return whole.with_points(slots.select("sid", F.col("slot").alias("ts"), "val")).dense(start, end - 1)
 
 
-def common_interval(sl: SeriesList) -> int:
-    """The least common multiple of the list's intervals (of which there are few)."""
-    return math.lcm(*[r.interval for r in sl.series.select("interval").distinct().collect()] or [1])
+def by_consolidator(sl: SeriesList) -> Column:
+    """The aggregate that each series' consolidator names, of those that the list's series have."""
+    names = sl.known_consolidators()
+    if len(names) == 1:
+        return aggregate(names[0])
+    value = F.lit(None).cast("double")
+    for n in names:
+        value = F.when(F.first("consolidator") == n, aggregate(n)).otherwise(value)
+    return value
 
 
 def normalize(sl: SeriesList, interval: int | None = None) -> SeriesList:
     """All series at the common interval, each by its consolidator, stamped with the end of the bucket; a last bucket that isn't full is left out."""
-    own = sl.series.select("interval").distinct().collect()
-    interval = interval or math.lcm(*[r.interval for r in own] or [1])
-    if all(r.interval == interval for r in own):
+    own = sl.known_intervals()
+    interval = interval or math.lcm(*own or [1])
+    if all(i == interval for i in own):
         return sl
     on = sl.points.join(sl.series.select("sid", "consolidator", F.col("interval").alias("_i")), "sid").withColumn("slot", ceil_to(F.col("ts"), F.lit(interval)))
-    names = [r.consolidator for r in sl.series.select("consolidator").distinct().collect()]
-    value = F.lit(None).cast("double")
-    for n in names:
-        value = F.when(F.first("consolidator") == n, aggregate(n)).otherwise(value)
-    last = on.groupBy("sid").agg(F.max("ts").alias("_last"))
-    out = on.groupBy("sid", "slot").agg(value.alias("val")).join(last, "sid").where(F.col("slot") <= F.col("_last"))
-    return SeriesList(sl.series.withColumn("interval", F.lit(interval)).select(*SERIES), out.select("sid", F.col("slot").alias("ts"), "val"))
+    out = on.groupBy("sid", "slot").agg(by_consolidator(sl).alias("val"), F.max("ts").alias("_last"))
+    # a bucket is full if the series goes on to its end
+    last = F.max("_last").over(Window.partitionBy("sid"))
+    out = out.withColumn("_last", last).where(F.col("slot") <= F.col("_last"))
+    return sl.with_series(sl.series.withColumn("interval", F.lit(interval)), intervals=frozenset({interval})).with_points(out.select("sid", F.col("slot").alias("ts"), "val"))
 
 
 def consolidate(sl: SeriesList, max_points: int, nudge: bool = True) -> SeriesList:
@@ -62,13 +66,10 @@ def consolidate(sl: SeriesList, max_points: int, nudge: bool = True) -> SeriesLi
     long = F.col("k") * F.col("interval")
     skip = F.when(F.lit(nudge) & (F.col("k") > 1) & (F.col("n") > 2 * F.col("k")), F.pmod(-(F.col("first") - F.col("interval")), long) / F.col("interval")).otherwise(0).cast("long")
     on = on.withColumn("skip", skip).where(F.col("i") >= F.col("skip")).withColumn("run", F.floor((F.col("i") - F.col("skip")) / F.col("k")))
-    names = [r.consolidator for r in sl.series.select("consolidator").distinct().collect()]
-    value = F.lit(None).cast("double")
-    for n in names:
-        value = F.when(F.first("consolidator") == n, aggregate(n)).otherwise(value)
-    runs = on.groupBy("sid", "run").agg(value.alias("val"), (F.min("ts") + (F.first("k") - 1) * F.first("interval")).cast("long").alias("ts"))
+    runs = on.groupBy("sid", "run").agg(by_consolidator(sl).alias("val"), (F.min("ts") + (F.first("k") - 1) * F.first("interval")).cast("long").alias("ts"))
     k = on.groupBy("sid").agg(F.first("k").alias("k"))
-    return SeriesList(sl.series.join(k, "sid", "left").withColumn("interval", (F.col("interval") * F.coalesce("k", F.lit(1))).cast("int")).select(*SERIES), runs.select(*POINTS))
+    series = sl.series.join(k, "sid", "left").withColumn("interval", (F.col("interval") * F.coalesce("k", F.lit(1))).cast("int"))
+    return sl.with_series(series, intervals=None).with_points(runs)
 
 
 def merge_series(sl: SeriesList) -> SeriesList:
@@ -77,4 +78,4 @@ def merge_series(sl: SeriesList) -> SeriesList:
     one = sl.series.groupBy("target").agg(F.min_by(F.struct(*SERIES), F.struct("ord", "sid")).alias("s")).select("s.*")
     to = sl.series.join(one.select("target", F.col("sid").alias("into")), "target").select("sid", "into", "ord")
     on = sl.points.join(to, "sid").groupBy(F.col("into").alias("sid"), "ts").agg(F.min_by("val", F.when(F.col("val").isNotNull(), F.struct("ord", "sid"))).alias("val"))
-    return SeriesList(one.select(*SERIES), on.select(*POINTS))
+    return sl.with_series(one).with_points(on)

@@ -85,6 +85,11 @@ def expand(defs: DataFrame, *patterns: str, leaves_only: bool = False) -> DataFr
     return out
 
 
+def names(defs: DataFrame) -> DataFrame:
+    """All names, once each and in order."""
+    return defs.select("name").distinct().orderBy("name")
+
+
 def select(defs: DataFrame, pattern: str) -> DataFrame:
     """The definitions of the series that a pattern (with ;tags, if there are) finds."""
     return defs.where(glob_filter(pattern, F.col("name")))

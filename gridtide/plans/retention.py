@@ -53,7 +53,16 @@ def choose(retentions: tuple[Retention, ...], start: int, end: int, now: int, ma
     return able[0]
 
 
+# Which stored aggregates answer a wanted one, the best first.
+ROLLUP_PREFERENCE = {
+    "average": ("average", "last", "max", "min", "sum"),
+    "min": ("min", "last", "average", "max", "sum"),
+    "max": ("max", "last", "average", "min", "sum"),
+    "sum": ("sum", "last", "average", "max", "min"),
+    "last": ("last", "average", "max", "min", "sum"),
+}
+
+
 def closest_rollup(wanted: str, stored: list[str]) -> str:
     """The stored aggregate that answers `wanted`, or comes nearest to it."""
-    near = {"average": ["average", "last", "max", "min", "sum"], "sum": ["sum", "average", "max", "min", "last"], "last": ["last", "average", "max", "min", "sum"], "min": ["min", "average", "last", "max", "sum"], "max": ["max", "average", "last", "min", "sum"]}
-    return next((x for x in near.get(wanted, [wanted]) if x in stored), stored[0])
+    return next((x for x in ROLLUP_PREFERENCE.get(wanted, (wanted,)) if x in stored), stored[0])

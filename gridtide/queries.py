@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import across, combine, naming, pointwise, select, windows
@@ -91,11 +91,12 @@ _AGG = {
 for _how, _expr in _AGG.items():
     _list, _cut = ("sales", (lambda sl: pointwise.scale(sl, 0.001))) if _how == "multiply" else ("orders", (lambda sl: sl))
     _scaled = _expr.replace("product(val)", "product(val * 0.001)")
-    add(f"aggregate_{_how}", _list, lambda sl, h=_how, c=_cut: across.aggregate_series(c(sl), h), f"SELECT '{_how}Series(*)' AS target, ts, {_scaled} AS val FROM S GROUP BY ts")
+    _patt = "scale(*,0.001)" if _how == "multiply" else "*"
+    add(f"aggregate_{_how}", _list, lambda sl, h=_how, c=_cut: across.aggregate_series(c(sl), h), f"SELECT '{_how}Series({_patt})' AS target, ts, {_scaled} AS val FROM S GROUP BY ts")
 
 for _fn, _how in (("avg", "average"), ("averageSeries", "average"), ("sum", "sum"), ("sumSeries", "sum"), ("min", "min"), ("minSeries", "min"), ("max", "max"), ("maxSeries", "max"), ("diffSeries", "diff"), ("stddevSeries", "stddev"), ("rangeOfSeries", "range")):
-    add(f"fn_{_fn}", "events", lambda sl, n=_fn: apply(n, sl), f"SELECT '{_how}Series(*)' AS target, ts, {_AGG[_how]} AS val FROM S GROUP BY ts")
-add("fn_multiplySeries", "events", lambda sl: apply("multiplySeries", pointwise.scale(sl, 0.01)), "SELECT 'multiplySeries(*)' AS target, ts, CASE WHEN count(val) = count(*) THEN product(val * 0.01) END AS val FROM S GROUP BY ts")
+    add(f"fn_{_fn}", "events", lambda sl, n=_fn: apply(n, sl), f"SELECT '{'rangeOf' if _how == 'range' else _how}Series(*)' AS target, ts, {_AGG[_how]} AS val FROM S GROUP BY ts")
+add("fn_multiplySeries", "events", lambda sl: apply("multiplySeries", pointwise.scale(sl, 0.01)), "SELECT 'multiplySeries(scale(*,0.01))' AS target, ts, CASE WHEN count(val) = count(*) THEN product(val * 0.01) END AS val FROM S GROUP BY ts")
 add("aggregate_xff", "orders", lambda sl: across.aggregate_series(sl, "sum", 0.5), "SELECT 'sumSeries(*)' AS target, ts, CASE WHEN count(val) / count(*) >= 0.5 THEN sum(val) END AS val FROM S GROUP BY ts")
 add("fn_countSeries", "orders", lambda sl: apply("countSeries", sl), "SELECT 'countSeries(*)' AS target, ts, (SELECT count(DISTINCT target) FROM S) AS val FROM S WHERE target = (SELECT min(target) FROM S)")
 add("fn_groupByNode", "orders", lambda sl: apply("groupByNode", sl, 1, "sum"), "SELECT status AS target, ts, sum(val) AS val FROM S GROUP BY ALL")
@@ -154,6 +155,9 @@ add(
     "SELECT 'keepLastValue(' || target || ')' AS target, ts, coalesce(val, CASE WHEN count(*) OVER (PARTITION BY target, run) - count(val) OVER (PARTITION BY target, run) <= 2 THEN max(val) OVER (PARTITION BY target, run) END) AS val "
     f"FROM (SELECT target, ts, val, count(val) OVER {_W} AS run FROM S)",
 )
+add("several_lists", "sales", lambda sl: apply("sum", select.grep(sl, "\\.F$"), pointwise.scale(sl, 2)), "SELECT 'sumSeries(*,scale(*,2))' AS target, ts, sum(v) AS val FROM (SELECT ts, val AS v FROM S WHERE line = 'F' UNION ALL SELECT ts, val * 2 FROM S) GROUP BY ts")
+for _fn in ("stddevSeries", "rangeOfSeries", "avg"):
+    add(f"one_series_{_fn}", "sales", lambda sl, n=_fn: apply(n, select.grep(sl, "A.F")), f"SELECT '{dict(avg='averageSeries').get(_fn, _fn)}(*)' AS target, ts, val FROM S WHERE target LIKE '%A.F'")
 for _fn, _how in (("movingAverage", "average"), ("movingMax", "max"), ("movingMin", "min"), ("movingMedian", "median"), ("movingSum", "sum")):
     add(f"fn_{_fn}", "orders", lambda sl, n=_fn: apply(n, sl, "7d"), f"SELECT 'moving{_how.capitalize()}(' || target || ',\"7d\")' AS target, ts, {_AGG[_how]} OVER (PARTITION BY target ORDER BY ts RANGE BETWEEN {7 * DAY} PRECEDING AND 1 PRECEDING) AS val FROM S")
 add("fn_movingWindow", "events", lambda sl: windows.moving_window(sl, "5h", "range", 0.5), f"SELECT 'movingRange(' || target || ',\"5h\")' AS target, ts, CASE WHEN count(val) OVER w >= 0.5 * count(*) OVER w AND count(val) OVER w > 0 THEN max(val) OVER w - min(val) OVER w END AS val FROM S WINDOW w AS (PARTITION BY target ORDER BY ts RANGE BETWEEN {5 * HOUR} PRECEDING AND 1 PRECEDING)")
@@ -168,7 +172,7 @@ add(
     "SELECT 'linearRegression(' || target || ')' AS target, ts, base + slope * (ts - t0) / 3600 AS val FROM S JOIN l USING (target)",
     "l AS (SELECT target, t0, regr_slope(val, (ts - t0) / 3600) AS slope, regr_intercept(val, (ts - t0) / 3600) AS base FROM (SELECT *, min(ts) OVER (PARTITION BY target) AS t0 FROM S) GROUP BY ALL)",
 )
-add("fn_timeShift", "events", lambda sl: windows.time_shift(sl, "1d"), f"SELECT 'timeShift(' || target || ', \"1d\")' AS target, ts + {DAY} AS ts, val FROM S")
+add("fn_timeShift", "events", lambda sl: windows.time_shift(sl, "1d"), f"SELECT 'timeShift(' || target || ', \"-1d\")' AS target, ts + {DAY} AS ts, val FROM S")
 for _how in ("sum", "average", "max", "last"):
     _e = _AGG[_how].replace("target)", "ts)")
     add(f"summarize_{_how}", "events", lambda sl, h=_how: windows.summarize(sl, "1d", h), f"SELECT 'summarize(' || target || ', \"1d\", \"{_how}\")' AS target, ts // {DAY} * {DAY} AS ts, {_e} AS val FROM S GROUP BY target, S.ts // {DAY} * {DAY}")
@@ -182,12 +186,17 @@ def _scored(how: str) -> str:
     return f"sc AS (SELECT target, {_AGG[how].replace('target)', 'ts)')} AS score FROM S GROUP BY target)"
 
 
-for _fn, _how, _op, _at in (
-    ("averageAbove", "average", ">", 150000), ("averageBelow", "average", "<=", 150000), ("currentAbove", "last", ">", 150000), ("currentBelow", "last", "<=", 150000),
-    ("maximumAbove", "max", ">", 500000), ("maximumBelow", "max", "<=", 500000), ("minimumAbove", "min", ">", 2000), ("minimumBelow", "min", "<=", 2000),
+def _mean_score(sl: SeriesList, how: str) -> float:
+    """A threshold that the data gives: the mean of the series' scores."""
+    return select.scores(sl, how).agg(F.avg("score")).first()[0]
+
+
+for _fn, _how, _op in (
+    ("averageAbove", "average", ">"), ("averageBelow", "average", "<="), ("currentAbove", "last", ">"), ("currentBelow", "last", "<="),
+    ("maximumAbove", "max", ">"), ("maximumBelow", "max", "<="), ("minimumAbove", "min", ">"), ("minimumBelow", "min", "<="),
 ):
-    add(f"fn_{_fn}", "orders", lambda sl, n=_fn, a=_at: apply(n, sl, a), f"SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc WHERE score {_op} {_at}) USING (target)", _scored(_how))
-add("fn_filterSeries", "orders", lambda sl: apply("filterSeries", sl, "stddev", ">=", 60000), "SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc WHERE score >= 60000) USING (target)", _scored("stddev"))
+    add(f"fn_{_fn}", "orders", lambda sl, n=_fn, h=_how: apply(n, sl, _mean_score(sl, h)), f"SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc WHERE score {_op} (SELECT avg(score) FROM sc)) USING (target)", _scored(_how))
+add("fn_filterSeries", "orders", lambda sl: apply("filterSeries", sl, "stddev", ">=", _mean_score(sl, "stddev")), "SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc WHERE score >= (SELECT avg(score) FROM sc)) USING (target)", _scored("stddev"))
 for _fn, _how, _dir in (("highestAverage", "average", "DESC NULLS LAST"), ("highestCurrent", "last", "DESC NULLS LAST"), ("highestMax", "max", "DESC NULLS LAST"), ("lowestAverage", "average", "ASC NULLS FIRST"), ("lowestCurrent", "last", "ASC NULLS FIRST")):
     add(f"fn_{_fn}", "orders", lambda sl, n=_fn: apply(n, sl, 3), f"SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc ORDER BY score {_dir}, target LIMIT 3) USING (target)", _scored(_how))
 add("fn_highest", "orders", lambda sl: apply("highest", sl, 4, "sum"), "SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM sc ORDER BY score DESC NULLS LAST, target LIMIT 4) USING (target)", _scored("sum"))
@@ -196,7 +205,7 @@ add("fn_lowest", "orders", lambda sl: apply("lowest", sl, 4, "min"), "SELECT tar
 
 def _ordered(name: str, f: Callable[[SeriesList], SeriesList], how: str | None, order: str) -> None:
     """Sorting shows in the series' order: target, place."""
-    QUERIES[name] = lambda spark, d: f(orders(spark, d)).series.select("target", F.col("ord").cast("long").alias("place"))
+    QUERIES[name] = lambda spark, d: f(orders(spark, d)).series.select("target", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
     with_ = BASES["orders"][1]
     SQL[name] = f"{with_}, {_scored(how or 'sum')} SELECT target, row_number() OVER (ORDER BY {order}) AS place FROM sc"
 
@@ -211,8 +220,8 @@ add("fn_exclude", "orders", lambda sl: apply("exclude", sl, r"\.F\."), r"SELECT
 add("fn_group", "sales", lambda sl: select.group(sl, naming.alias_by_node(sl, 1, 2)), "SELECT target, ts, val FROM S UNION ALL SELECT flag || '.' || line, ts, val FROM S")
 add("fn_unique", "sales", lambda sl: select.unique(sl, sl), "SELECT target, ts, val FROM S")
 add("fn_fallbackSeries", "sales", lambda sl: select.fallback_series(select.grep(sl, "nothing"), sl), "SELECT target, ts, val FROM S")
-add("fn_removeEmptySeries", "orders", lambda sl: apply("removeEmptySeries", sl, 0.3), "SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM S GROUP BY target HAVING count(val) > 0 AND count(val) >= 0.3 * count(*)) USING (target)")
-add("fn_removeZeroSeries", "sales", lambda sl: apply("removeZeroSeries", pointwise.transform_null(sl, 0), 0.5), "SELECT 'transformNull(' || target || ',0)' AS target, ts, coalesce(val, 0.0) AS val FROM S SEMI JOIN (SELECT target FROM S GROUP BY target HAVING count(*) FILTER (coalesce(val, 0) <> 0) >= 0.5 * count(*)) USING (target)")
+add("fn_removeEmptySeries", "orders", lambda sl: apply("removeEmptySeries", sl, 0.02), "SELECT target, ts, val FROM S SEMI JOIN (SELECT target FROM S GROUP BY target HAVING count(val) > 0 AND count(val) >= 0.02 * count(*)) USING (target)")
+add("fn_removeZeroSeries", "sales", lambda sl: apply("removeZeroSeries", pointwise.transform_null(sl), 0.1), "SELECT 'transformNull(' || target || ')' AS target, ts, coalesce(val, 0.0) AS val FROM S SEMI JOIN (SELECT target FROM S GROUP BY target HAVING count(*) FILTER (coalesce(val, 0) <> 0) >= 0.1 * count(*)) USING (target)")
 
 # ---- two lists --------------------------------------------------------------------------------
 
@@ -246,8 +255,8 @@ for _name, _f, _expr in (
     ("aliasByMetric", lambda sl: apply("aliasByMetric", pointwise.absolute(sl)), "priority"),
     ("aliasSub", lambda sl: apply("aliasSub", sl, r"^orders\.(.)\.(.*)$", r"\2_of_\1"), "priority || '_of_' || status"),
     ("substr", lambda sl: apply("substr", pointwise.absolute(sl), 1, 3), "status || '.' || priority"),
-    ("consolidateBy", lambda sl: apply("consolidateBy", sl, "max"), "target"),
-    ("cumulative", lambda sl: apply("cumulative", sl), "target"),
+    ("consolidateBy", lambda sl: apply("consolidateBy", sl, "max"), "'consolidateBy(' || target || ',\"max\")'"),
+    ("cumulative", lambda sl: apply("cumulative", sl), "'consolidateBy(' || target || ',\"sum\")'"),
 ):
     _v = "abs(val)" if _name in ("aliasByMetric", "substr") else "val"
     add(f"fn_{_name}", "orders", _f, f"SELECT {_expr} AS target, ts, {_v} AS val FROM S")
@@ -260,7 +269,7 @@ z AS (SELECT *, CASE WHEN k > 1 AND n > 2 * k THEN ((-(f - 3600) % (k * 3600)) +
 u AS (SELECT target, val, ts, k, (i - s) // k AS u FROM z WHERE i >= s)"""
 for _how in ("average", "sum", "max", "last"):
     _e = _AGG[_how].replace("target)", "ts)")
-    add(f"consolidate_{_how}", "events", lambda sl, h=_how: grid.consolidate(naming.consolidate_by(sl, h), 100), f"SELECT target, min(u.ts) + (any_value(k) - 1) * 3600 AS ts, {_e.replace('ts)', 'u.ts)')} AS val FROM u GROUP BY target, u", _RUN.replace("k AS (SELECT *,", "k2 AS (SELECT *,").replace("FROM k)", "FROM k2)"))
+    add(f"consolidate_{_how}", "events", lambda sl, h=_how: grid.consolidate(naming.consolidate_by(sl, h), 100), f"SELECT 'consolidateBy(' || target || ',\"{_how}\")' AS target, min(u.ts) + (any_value(k) - 1) * 3600 AS ts, {_e.replace('ts)', 'u.ts)')} AS val FROM u GROUP BY target, u", _RUN.replace("k AS (SELECT *,", "k2 AS (SELECT *,").replace("FROM k)", "FROM k2)"))
 add("normalize_week", "orders", lambda sl: grid.normalize(sl, 7 * DAY), f"SELECT target, ceil(ts / {7 * DAY}.0)::BIGINT * {7 * DAY} AS ts, avg(val) AS val FROM S GROUP BY target, ceil(S.ts / {7 * DAY}.0)::BIGINT * {7 * DAY} HAVING ceil(min(S.ts) / {7 * DAY}.0)::BIGINT * {7 * DAY} <= (SELECT max(ts) FROM S)")
 add("merge_series", "sales", lambda sl: grid.merge_series(naming.alias_by_node(sl, 0, 2)), "SELECT 'sales.' || line AS target, ts, arg_min(val, flag) FILTER (val IS NOT NULL) AS val FROM S GROUP BY ALL")
 add("mixed_intervals_sum", "events", lambda sl: across.aggregate_series(select.group(sl, windows.summarize(sl, "6h", "sum")), "sum"), f"SELECT 'sumSeries(*)' AS target, t AS ts, sum(v) AS val FROM (SELECT ceil(ts / {6 * HOUR}.0)::BIGINT * {6 * HOUR} AS t, target, avg(val) AS v FROM S GROUP BY ALL UNION ALL SELECT ts // {6 * HOUR} * {6 * HOUR}, 's' || target, sum(val) FROM S GROUP BY ALL) WHERE t <= (SELECT max(ts) FROM S) GROUP BY t")
@@ -275,13 +284,14 @@ def _raw_events(spark: SparkSession, d: str) -> DataFrame:
 def rollups(spark: SparkSession, d: str) -> DataFrame:
     """Hourly and daily rollups of every user's events."""
     points = _raw_events(spark, d)
-    out = rollup.build(points.select("sid", "ts", "val"), [HOUR, DAY]).drop("lst")
-    return out.select("sid", "span", "ts", *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in ("sum", "min", "max")], "cnt")
+    out = rollup.build(points.groupBy("sid", "ts").agg(F.max("val").alias("val")), [HOUR, DAY])  # one point a second
+    return out.select("sid", "span", "ts", *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in ("sum", "min", "max", "lst")], "cnt")
 
 
 QUERIES["rollup_build"] = rollups
 SQL["rollup_build"] = " UNION ALL ".join(
-    f"SELECT 'events.' || event_type || '.u' || user_id AS sid, {s} AS span, CAST(ceil(floor(epoch(ts)) / {s}.0) AS BIGINT) * {s} AS ts, round(sum(v), {DIGITS}) + 0.0 AS sum, round(min(v), {DIGITS}) + 0.0 AS min, round(max(v), {DIGITS}) + 0.0 AS max, count(*) AS cnt FROM (SELECT *, CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) AS v FROM events) GROUP BY ALL"
+    f"SELECT sid, {s} AS span, CAST(ceil(t / {s}.0) AS BIGINT) * {s} AS ts, round(sum(v), {DIGITS}) + 0.0 AS sum, round(min(v), {DIGITS}) + 0.0 AS min, round(max(v), {DIGITS}) + 0.0 AS max, round(arg_max(v, t), {DIGITS}) + 0.0 AS lst, count(*) AS cnt "
+    "FROM (SELECT 'events.' || event_type || '.u' || user_id AS sid, CAST(floor(epoch(ts)) AS BIGINT) AS t, max(CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE)) AS v FROM events GROUP BY ALL) GROUP BY ALL"
     for s in (HOUR, DAY)
 )
 
@@ -297,18 +307,20 @@ SQL["rollup_average"] = f"SELECT 'events.' || event_type || '.u' || user_id AS t
 
 
 def quantized(spark: SparkSession, d: str) -> DataFrame:
-    """The earliest price of each hour's slot for every kind of event, on a dense grid of two weeks."""
+    """The earliest price of each hour's slot for every kind of event, on a dense grid over all of them."""
     raw = _read(spark, d, "events").groupBy(F.concat(F.lit("events."), F.col("event_type")).alias("sid"), F.unix_timestamp("ts").alias("ts")).agg(F.max("value").alias("val"))
+    ends = raw.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     series = raw.select("sid").distinct().select("sid", F.col("sid").alias("name"), F.create_map(F.lit("name"), F.col("sid")).alias("tags"), F.lit(HOUR).alias("interval"))
-    return _rounded(grid.quantize(series, raw, 1704067200, 1705276800))
+    return _rounded(grid.quantize(series, raw, ends.lo or 0, ends.hi or 0))
 
 
 QUERIES["quantize"] = quantized
 SQL["quantize"] = f"""
 WITH raw AS (SELECT 'events.' || event_type AS target, CAST(floor(epoch(ts)) AS BIGINT) AS t, max(value) AS v FROM events GROUP BY ALL),
-q AS (SELECT target, CAST(ceil(t / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, arg_min(v, t) AS val FROM raw WHERE t > 1704067200 - {HOUR} AND t < 1705276800 GROUP BY ALL)
-SELECT g.target, g.ts, round(q.val, {DIGITS}) + 0.0 AS val
-FROM (SELECT DISTINCT target, unnest(range(1704067200, 1705276800, {HOUR})) AS ts FROM raw) g LEFT JOIN q USING (target, ts)"""
+e AS (SELECT min(t) AS lo, max(t) AS hi FROM raw),
+q AS (SELECT target, CAST(ceil(t / {HOUR}.0) AS BIGINT) * {HOUR} AS ts, arg_min(v, t) AS val FROM raw, e WHERE t > lo - {HOUR} AND t < hi GROUP BY ALL),
+g AS (SELECT target, unnest(range(CAST(ceil(lo / {HOUR}.0) AS BIGINT) * {HOUR}, hi, {HOUR})) AS ts FROM (SELECT DISTINCT target FROM raw), e)
+SELECT g.target, g.ts, round(q.val, {DIGITS}) + 0.0 AS val FROM g LEFT JOIN q USING (target, ts)"""
 
 # ---- index ------------------------------------------------------------------------------------
 
@@ -338,14 +350,14 @@ def add_index(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
 
 
 add_index("index_find_leaf", lambda x: index.find(x, "crm.A*.*.{BUILDING,MACHINERY}.c1?"), "SELECT DISTINCT name AS path, true AS leaf FROM defs WHERE regexp_matches(name, '^crm\\.A[^.]*\\.[^.]*\\.(BUILDING|MACHINERY)\\.c1[^.]?$')")
-add_index("index_find_branch", lambda x: index.find(x, "crm.*.[A-F]*"), "SELECT DISTINCT 'crm.' || region || '.' || nation AS path, false AS leaf FROM defs WHERE regexp_matches(nation, '^[A-F]')")
-add_index("index_find_since", lambda x: index.find(x, "crm.*", since=1_700_060_000), "SELECT DISTINCT 'crm.' || region AS path, false AS leaf FROM defs WHERE last_update >= 1700060000")
+add_index("index_find_branch", lambda x: index.find(x, "crm.*.N*_1[0-4]"), "SELECT DISTINCT 'crm.' || region || '.' || nation AS path, false AS leaf FROM defs WHERE regexp_matches(nation, '^N.*_1[0-4]$')")
+add_index("index_find_since", lambda x: index.find(x, "crm.*", since=1_700_004_500), "SELECT DISTINCT 'crm.' || region AS path, false AS leaf FROM defs WHERE last_update >= 1700004500")
 add_index("index_expand", lambda x: index.expand(x, "crm.ASIA.*", "crm.E*.*.*"), "SELECT DISTINCT 'crm.ASIA.*' AS pattern, 'crm.ASIA.' || nation AS path FROM defs WHERE region = 'ASIA' UNION SELECT 'crm.E*.*.*', 'crm.' || region || '.' || nation || '.' || segment FROM defs WHERE region LIKE 'E%'")
-add_index("index_names", lambda x: x.select("name").distinct(), "SELECT DISTINCT name FROM defs")
+add_index("index_names", index.names, "SELECT DISTINCT name FROM defs")
 for _name, _expr, _where in (
     ("eq", ("segment=BUILDING",), "segment = 'BUILDING'"),
     ("ne", ("name=crm", "region!=ASIA"), "region <> 'ASIA'"),
-    ("re", ("nation=~I.*A",), "regexp_matches(nation, '^(?:I.*A)')"),
+    ("re", ("nation=~NATION_1.*",), "regexp_matches(nation, '^(?:NATION_1.*)')"),
     ("nre", ("name=crm", "debt!=~y.*"), "debt IS NULL"),
     ("prefix", ("segment^=MA",), "segment LIKE 'MA%'"),
     ("has", ("debt!=",), "debt IS NOT NULL"),
@@ -359,9 +371,9 @@ add_index("index_public", lambda x: index.visible(x, 1, 2).select("name", "org")
 add_index("index_meta_tags", lambda x: index.find_by_tag(index.with_meta_tags(x, [(["region=~A.*"], {"zone": "a", "region": "hidden"}), (["debt=yes"], {"zone": "debt"})]), "zone!=").select("name", F.col("tags")["zone"].alias("zone"), F.col("tags")["region"].alias("region")), "SELECT name, CASE WHEN region LIKE 'A%' THEN 'a' ELSE 'debt' END AS zone, region FROM defs WHERE region LIKE 'A%' OR debt = 'yes'")
 add_index("tag_terms", index.tag_terms, "SELECT 'name' AS tag, 'crm' AS value, count(*) AS n FROM defs UNION ALL SELECT 'region', region, count(*) FROM defs GROUP BY region UNION ALL SELECT 'nation', nation, count(*) FROM defs GROUP BY nation UNION ALL SELECT 'segment', segment, count(*) FROM defs GROUP BY segment UNION ALL SELECT 'debt', debt, count(*) FROM defs WHERE debt IS NOT NULL GROUP BY debt")
 add_index("tag_names", lambda x: index.tag_names(x, "[nr]"), "SELECT unnest(['name', 'nation', 'region']) AS tag")
-add_index("tag_values", lambda x: index.tag_values(x, "nation", "[A-K]"), "SELECT nation AS value, count(*) AS n FROM defs WHERE regexp_matches(nation, '^[A-K]') GROUP BY nation")
+add_index("tag_values", lambda x: index.tag_values(x, "nation", "NATION_[12]"), "SELECT nation AS value, count(*) AS n FROM defs WHERE regexp_matches(nation, '^NATION_[12]') GROUP BY nation")
 add_index("autocomplete_tags", lambda x: index.complete_tags(x, "n", "region=ASIA"), "SELECT unnest(['name', 'nation']) AS tag")
-add_index("autocomplete_values", lambda x: index.complete_values(x, "nation", "I", "segment=BUILDING", limit=3), "SELECT DISTINCT nation AS value FROM defs WHERE nation LIKE 'I%' AND segment = 'BUILDING' ORDER BY value LIMIT 3")
+add_index("autocomplete_values", lambda x: index.complete_values(x, "nation", "NATION_1", "segment=BUILDING", limit=3), "SELECT DISTINCT nation AS value FROM defs WHERE nation LIKE 'NATION\\_1%' ESCAPE '\\' AND segment = 'BUILDING' ORDER BY value LIMIT 3")
 add_index("index_delete", lambda x: index.delete(x, "crm.A*").select("name"), "SELECT name FROM defs WHERE region NOT LIKE 'A%'")
 add_index("index_delete_by_tag", lambda x: index.delete_by_tag(x, "debt=yes", older_than=1_700_030_000).select("name"), "SELECT name FROM defs WHERE NOT (coalesce(debt, '') = 'yes' AND last_update < 1700030000)")
 add_index("index_prune", lambda x: index.prune(x, [("BUILDING", 40_000), ("^crm\\.A", 0), (".", 60_000)], 1_700_090_000).select("name"), "SELECT name FROM defs WHERE last_update >= CASE WHEN name LIKE '%BUILDING%' THEN 1700050000 WHEN name LIKE 'crm.A%' THEN 0 ELSE 1700030000 END")
@@ -381,9 +393,61 @@ SQL["source_carbon"] = "SELECT CASE WHEN event_id % 7 <> 0 THEN 'events.' || eve
 
 QUERIES["sink_csv"] = lambda spark, d: metrics.to_csv(sales(spark, d)).select("target", "time", F.round(F.col("value").cast("double"), 2).alias("value"))
 SQL["sink_csv"] = BASES["sales"][1] + " SELECT target, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') AS time, round(val, 2) AS value FROM S"
-QUERIES["sink_json"] = lambda spark, d: metrics.to_json(sales(spark, d)).select("target", F.size(F.from_json("json", "target string, tags map<string,string>, datapoints array<array<double>>").datapoints).cast("long").alias("n"))
-SQL["sink_json"] = BASES["sales"][1] + " SELECT target, count(*) AS n FROM S GROUP BY target"
+
+
+def json_points(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader of the JSON has: each point and a tag."""
+    text = metrics.to_json(sales(spark, d)).select("target", F.from_json("json", "target string, tags map<string,string>, datapoints array<array<double>>").alias("j"))
+    each = text.select("target", F.col("j.target").alias("named"), F.col("j.tags")["flag"].alias("flag"), F.explode("j.datapoints").alias("p"))
+    return each.select("target", "named", "flag", F.get("p", F.lit(1)).cast("long").alias("ts"), F.round(F.get("p", F.lit(0)), 2).alias("val"))
+
+
+QUERIES["sink_json"] = json_points
+SQL["sink_json"] = BASES["sales"][1] + " SELECT target, target AS named, flag, ts, round(val, 2) AS val FROM S"
+
+
+def json_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON messages, most with one fault, read back, validated and counted by reason."""
+    k = F.col("event_id") % 8
+    message = F.to_json(F.struct(
+        F.when(k != 1, 1).alias("org"), F.when(k == 2, 0).otherwise(60).alias("interval"), F.when(k != 3, F.concat(F.lit("events."), F.col("event_type"))).alias("name"), F.when(k == 4, "guess").otherwise("count").alias("mtype"),
+        F.array(F.when(k == 5, "x").otherwise("a=b")).alias("tags"), F.when(k == 6, -1).otherwise(F.unix_timestamp("ts")).alias("time"), F.when(k != 7, F.col("value")).alias("value"), F.lit("n").alias("unit"),
+    ))
+    return metrics.validated(metrics.json_messages(_read(spark, d, "events").select(message.alias("value")))).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+QUERIES["source_json"] = json_messages
+SQL["source_json"] = "SELECT ['ok', 'invalid-org', 'invalid-interval', 'invalid-name', 'invalid-mtype', 'invalid-tag', 'invalid-time', 'invalid-value'][event_id % 8 + 1] AS reason, count(*) AS n FROM events GROUP BY ALL"
 QUERIES["resample_finer"] = lambda spark, d: (lambda sl: _rounded(sl.with_points(metrics.resampled(sl.points.where("val IS NOT NULL"), DAY, 6 * HOUR))))(sales(spark, d))
 SQL["resample_finer"] = BASES["sales"][1] + f" SELECT target, ts - x * {6 * HOUR} AS ts, round(val, {DIGITS}) + 0.0 AS val FROM S, (SELECT unnest([0, 1, 2, 3]) AS x) WHERE val IS NOT NULL"
 QUERIES["combined_stores"] = lambda spark, d: (lambda sl: _rounded(sl.with_points(metrics.combined(sl.points.where("ts >= 852076800 AND val IS NOT NULL"), pointwise.scale(sl, 2).points))))(sales(spark, d))
 SQL["combined_stores"] = BASES["sales"][1] + f", h AS (SELECT target, min(ts) AS f FROM S WHERE ts >= 852076800 AND val IS NOT NULL GROUP BY target) SELECT S.target, ts, round(val, {DIGITS}) + 0.0 AS val FROM S JOIN h USING (target) WHERE ts >= 852076800 AND val IS NOT NULL UNION ALL SELECT S.target, ts, round(val * 2, {DIGITS}) + 0.0 FROM S LEFT JOIN h USING (target) WHERE f IS NULL OR ts < f"
+
+# ---- tags --------------------------------------------------------------------------------------
+
+
+def add_tags(name: str, f: Callable[[SeriesList], SeriesList], target: str, tags: dict[str, str], source: str = "(SELECT DISTINCT target, status, priority FROM S)") -> None:
+    """The tags of the result's series: target, tag, value. tags: SQL for each tag's value."""
+    QUERIES[f"tags_{name}"] = lambda spark, d: f(orders(spark, d)).series.select("target", F.explode("tags").alias("tag", "value"))
+    SQL[f"tags_{name}"] = BASES["orders"][1] + " UNION ALL ".join(f" SELECT {target} AS target, '{k}' AS tag, {v} AS value FROM {source}" for k, v in tags.items())
+
+
+_OWN = {"name": "'orders'", "status": "status", "priority": "priority"}
+for _fn, _args, _target, _more in (
+    ("absolute", (), "'absolute(' || target || ')'", {"absolute": "'1'"}),
+    ("log", (2,), "'log(' || target || ',2)'", {"log": "'2'"}),
+    ("round", (1,), "'round(' || target || ',1)'", {"round": "'1'"}),
+    ("movingMax", ("7d",), "'movingMax(' || target || ',\"7d\")'", {"movingMax": "'7d'"}),
+    ("timeShift", ("1d",), "'timeShift(' || target || ', \"-1d\")'", {"timeShift": "'-1d'"}),
+    ("summarize", ("7d", "max"), "'summarize(' || target || ', \"7d\", \"max\")'", {"summarize": "'7d'", "summarizeFunction": "'max'"}),
+    ("removeAbovePercentile", (50,), "'removeAbovePercentile(' || target || ', 50)'", {"nPercentile": "'50'"}),
+    ("scale", (2,), "'scale(' || target || ',2)'", {}),
+    ("aliasByNode", (2,), "priority", {"name": "priority"}),
+):
+    add_tags(_fn, lambda sl, n=_fn, a=_args: apply(n, sl, *a), _target, _OWN | _more)
+add_tags("alias", lambda sl: apply("alias", select.grep(sl, "URGENT"), "urgent"), "'urgent'", _OWN | {"name": "'urgent'"}, "(SELECT DISTINCT status, priority FROM S WHERE target LIKE '%URGENT%')")
+add_tags("sumSeries", lambda sl: apply("sumSeries", sl), "'sumSeries(*)'", {"name": "'orders'", "aggregatedBy": "'sum'"}, "(SELECT 1)")
+add_tags("sumSeries_of_one", lambda sl: apply("sumSeries", select.grep(sl, "F.*URGENT")), "'sumSeries(*)'", _OWN, "(SELECT DISTINCT status, priority FROM S WHERE target LIKE '%.F.%URGENT%')")
+add_tags("groupByNode", lambda sl: apply("groupByNode", sl, 1, "max"), "status", {"name": "'orders'", "status": "status", "aggregatedBy": "'max'"}, "(SELECT DISTINCT status FROM S)")
+add_tags("divideSeries", lambda sl: apply("divideSeries", sl, apply("max", sl)), "'divideSeries(' || target || ',maxSeries(*))'", {"name": "'divideSeries(' || target || ',maxSeries(*))'"})
+add_tags("countSeries", lambda sl: apply("countSeries", sl), "'countSeries(*)'", {"name": "'countSeries(*)'"}, "(SELECT 1)")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gridtide.operators.grid import ceil_to
 from gridtide.series import SeriesList
+from gridtide.shared import written
 
 #: A metric message: metadata and one value.
 METRIC = T.StructType(
@@ -83,15 +84,20 @@ def points_of(metrics: DataFrame) -> DataFrame:
     return metrics.select(sid.alias("sid"), F.col("time").alias("ts"), F.col("value").alias("val"))
 
 
-def series_from_table(df: DataFrame, name: Column, at: Column, value: Column, interval: int, tags: dict[str, Column] | None = None) -> SeriesList:
-    """Sums of a table's values by series and slot (as a rollup of counts), exact for values of two decimals; dense."""
+def series_from_table(df: DataFrame, name: Column, at: Column, value: Column, interval: int, tags: dict[str, Column] | None = None, patt: str = "*") -> SeriesList:
+    """Sums of a table's values by series and slot (as a rollup of counts), exact for values of two decimals; dense.
+
+    This is the fetch: the table is read once, and what it is reduced to is kept in the shared folder, with the times of its first and last slots.
+    """
     tags = {"name": name} if tags is None else {"name": name, **tags}
     seconds = F.unix_timestamp(at) if not isinstance(at, int) else at
     on = df.select(name.alias("sid"), ceil_to(seconds, F.lit(interval)).alias("ts"), value.cast("decimal(18,2)").alias("v"), *[c.alias(f"t_{k}") for k, c in tags.items()])
-    points = on.groupBy("sid", "ts").agg(F.sum("v").cast("double").alias("val"))
-    series = on.groupBy("sid").agg(*[F.any_value(f"t_{k}").alias(f"t_{k}") for k in tags])
-    series = series.select("sid", F.col("sid").alias("name"), F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*[F.col(f"t_{k}") for k in tags])).alias("tags"), F.lit(interval).alias("interval"))
-    return SeriesList.of(series, points).dense()
+    own = [f"t_{k}" for k in tags]
+    reduced = on.groupBy("sid", "ts").agg(F.sum("v").cast("double").alias("val"), *[F.any_value(t).alias(t) for t in own])
+    reduced = written(reduced, "fetched")
+    series = reduced.groupBy("sid").agg(*[F.any_value(t).alias(t) for t in own])
+    series = series.select("sid", F.col("sid").alias("name"), F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*map(F.col, own))).alias("tags"), F.lit(interval).alias("interval"), F.lit(patt).alias("patt"))
+    return SeriesList.of(series, reduced, [interval]).dense()
 
 
 def combined(hot: DataFrame, cold: DataFrame) -> DataFrame:

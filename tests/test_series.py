@@ -1,5 +1,9 @@
 """Small series with known results: missing values, ties, empty lists, bounds."""
 
+import math
+import random
+import statistics
+
 import pytest
 
 from gridtide.functions import REGISTRY, across, apply, combine, naming, pointwise, select, windows
@@ -34,9 +38,20 @@ def one(sl):
     return v
 
 
+def made(seed, n, gaps=0.25, low=-50, high=50):
+    """n made-up values, some of them missing."""
+    r = random.Random(seed)
+    return [N if r.random() < gaps else round(r.uniform(low, high), 2) for _ in range(n)]
+
+
+def close(got, want):
+    assert [g is None for g in got] == [w is None for w in want]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None])
+
+
 @pytest.fixture(scope="module")
-def ab(spark):
-    return make(spark, a=[0.0, 0.0, 5.5, N, N, 1e9], b=[0.0, 4.0, 2.0, N, 8.0, N])
+def three(spark):
+    return make(spark, **{k: made(i, 40) for i, k in enumerate("abc")})
 
 
 def test_all_names():
@@ -49,27 +64,109 @@ def test_nan_is_missing(spark):
     assert one(pointwise.offset(make(spark, x=[INF]), -INF)) == [N]
 
 
-@pytest.mark.parametrize(
-    ("how", "want"),
-    [
-        ("sum", [0, 4, 7.5, N, 8, 1e9]), ("average", [0, 2, 3.75, N, 8, 1e9]), ("avg_zero", [0, 2, 3.75, 0, 4, 5e8]), ("min", [0, 0, 2, N, 8, 1e9]), ("max", [0, 4, 5.5, N, 8, 1e9]),
-        ("multiply", [0, 0, 11, N, N, N]), ("diff", [0, -4, 3.5, N, 8, 1e9]), ("last", [0, 4, 2, N, 8, 1e9]), ("count", [2, 2, 2, N, 1, 1]), ("range", [0, 4, 3.5, N, 0, 0]), ("median", [0, 2, 3.75, N, 8, 1e9]), ("stddev", [0, 2, 1.75, N, 0, 0]),
-    ],
-)
-def test_across(ab, how, want):
-    assert one(across.aggregate_series(ab, how)) == want
+BY_HAND = {
+    "sum": sum, "average": statistics.fmean, "min": min, "max": max, "median": statistics.median, "stddev": statistics.pstdev, "range": lambda v: max(v) - min(v), "count": len,
+    "last": lambda v: v[-1], "diff": lambda v: v[0] - sum(v[1:]), "multiply": math.prod,
+}
+
+
+def by_hand(how, column):
+    """The aggregate of the values at one time, or of a window."""
+    seen = [v for v in column if v is not None]
+    if how == "avg_zero":
+        return sum(seen) / len(column)
+    if not seen or (how == "multiply" and len(seen) < len(column)):
+        return N
+    return float(BY_HAND[how](seen))
+
+
+@pytest.mark.parametrize("how", [*BY_HAND, "avg_zero"])
+def test_across(three, how):
+    columns = list(zip(*[made(i, 40) for i in range(3)], strict=True))
+    close(one(across.aggregate_series(three, how)), [by_hand(how, c) for c in columns])
+
+
+def test_share_is_of_all_series(spark):
+    """Of a list that isn't dense too: absent rows count as missing."""
+    sparse = make(spark, a=[1.0, 2.0, 3.0], b=[10.0], c=[N, 5.0, N])
+    assert one(across.aggregate_series(sparse, "sum", 0.5)) == [11, 7, N]
+    assert one(across.aggregate_series(sparse, "multiply")) == [N, N, N]
+    assert one(across.aggregate_series(sparse, "avg_zero")) == pytest.approx([11 / 3, 7 / 3, 1])
+
+
+def tags(sl):
+    return {r.target: r.tags for r in sl.series.collect()}
+
+
+def test_one_series_passes_through(spark):
+    x = make(spark, x=[3.0, N, 5.0])
+    for how, name in (("stddevSeries", "stddevSeries(*)"), ("rangeOfSeries", "rangeOfSeries(*)"), ("avg", "averageSeries(*)")):
+        assert values(apply(how, x)) == {name: [3, N, 5]}
+        assert tags(apply(how, x)) == {name: {"name": "x"}}
+    assert one(across.aggregate_series(x, "count", 0.5)) == [3, N, 5]
+    assert values(across.with_wildcards(make(spark, **{"a.b": [3.0]}), "range", 1)) == {"a": [3]}
+    assert values(across.group_by_node(make(spark, **{"a.b": [3.0]}), 0, "range")) == {"a": [0]}  # groups don't
+
+
+def test_several_lists(spark):
+    x, y = make(spark, a=[1.0], b=[2.0]), pointwise.scale(make(spark, c=[5.0]), 2)
+    assert values(apply("sum", x, y)) == {"sumSeries(*,scale(*,2))": [13]}
+    assert values(apply("sum", select.group(x, y))) == {"sumSeries(*)": [13]}
+    assert values(apply("sum", x, pattern="foo.*")) == {"sumSeries(foo.*)": [3]}
+    assert values(apply("countSeries", x, y)) == {"countSeries(*,scale(*,2))": [3]}
+    assert set(values(apply("perSecond", x, y))) == {"perSecond(a)", "perSecond(b)", "perSecond(scale(c,2))"}
+    assert values(across.aggregate_series(x, y, "sum", 1.0)) == {"sumSeries(*,scale(*,2))": [13]}
+
+
+def test_names_and_tags(spark):
+    x = make(spark, x=[1.0, 2.0])
+    assert tags(naming.consolidate_by(x, "max")) == {'consolidateBy(x,"max")': {"name": "x"}}
+    assert tags(windows.time_shift(x, "+1h")) == {'timeShift(x, "+1h")': {"name": "x", "timeShift": "+1h"}}
+    assert tags(windows.linear_regression(x, 0, 100)) == {"linearRegression(x, 0, 100)": {"name": "x", "linearRegressions": "0, 100"}}
+    assert tags(pointwise.transform_null(x)) == {"transformNull(x)": {"name": "x"}}
+    assert tags(pointwise.transform_null(x, 0)) == {"transformNull(x,0)": {"name": "x"}}
+    assert tags(naming.alias(pointwise.absolute(x), "y")) == {"y": {"name": "y", "absolute": "1"}}
+    assert tags(combine.as_percent(x, 10)) == {"asPercent(x,10)": {"name": "asPercent(x,10)"}}
+    both = make(spark, a=[1.0], b=[2.0])
+    assert tags(apply("sum", both)) == {"sumSeries(*)": {"aggregatedBy": "sum", "name": "sumSeries(*)"}}
+
+
+def test_functions_run_no_jobs(spark, three):
+    """A list whose intervals are known is one plan: nothing is computed before the result is asked for."""
+    known = SeriesList.of(three.series.drop("consolidator"), three.points, [10])
+    group = "no jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        total = apply("sumSeries", known)
+        out = [apply("divideSeries", known, total), combine.as_percent(known), combine.as_percent(known, total), combine.divide_series_lists(known, known), select.fallback_series(known, total), apply("countSeries", known), apply("groupByTags", known, "sum", "name"), select.sort_by(known, "max"), apply("movingAverage", known, "20s")]
+        assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert all(o.points.count() for o in out)
+
+
+def wrapped(a, b, most):
+    """Growth from a to b of a counter that may wrap at most."""
+    if a is None or b is None:
+        return N
+    return b - a if b >= a else N if most is None else most + 1 + b - a
 
 
 def test_windows(spark):
-    c = make(spark, c=[0.0, 33.0, 199.0, 29.0, N, 250.0])
-    assert one(windows.derivative(c)) == [N, 33, 166, -170, N, N]
-    assert one(windows.non_negative_derivative(c)) == [N, 33, 166, N, N, N]
-    assert one(windows.non_negative_derivative(c, 255)) == [N, 33, 166, 86, N, N]
-    assert one(windows.non_negative_derivative(c, 100)) == [N, 33, N, N, N, N]
-    assert one(windows.per_second(c, 255)) == pytest.approx([N, 3.3, 16.6, 8.6, N, N])
-    assert one(windows.integral(c)) == [0, 33, 232, 261, N, 511]
-    assert one(windows.moving_window(c, 20)) == [N, 0, 16.5, 116, 114, 29]
-    assert one(windows.moving_window(c, 20, "sum", 1.0)) == [N, 0, 33, 232, 228, N]
+    raw = [N if v is None else abs(v) for v in made(11, 60)]
+    c = make(spark, c=raw)
+    before = list(zip([N, *raw], raw, strict=False))
+    close(one(windows.derivative(c)), [N if N in p else p[1] - p[0] for p in before])
+    close(one(windows.non_negative_derivative(c)), [wrapped(*p, N) for p in before])
+    limit = lambda v, m: N if v is None or v > m else v
+    close(one(windows.non_negative_derivative(c, 40)), [wrapped(limit(a, 40), limit(b, 40), 40) for a, b in before])
+    close(one(windows.per_second(c, 63)), [N if (w := wrapped(*p, 63)) is None else w / 10 for p in before])
+    close(one(windows.per_second(c)), [N if (w := wrapped(*p, N)) is None else w / 10 for p in before])
+    close(one(windows.integral(c)), [N if v is None else sum(x for x in raw[: i + 1] if x is not None) for i, v in enumerate(raw)])
+    for how in ("average", "max", "median", "sum", "stddev"):
+        close(one(windows.moving_window(c, 30, how)), [by_hand(how, raw[max(0, i - 3) : i]) if i else N for i in range(len(raw))])
+    full = lambda w: w and N not in w
+    close(one(windows.moving_window(c, 20, "sum", 1.0)), [sum(w) if full(w := raw[max(0, i - 2) : i]) else N for i in range(len(raw))])
 
 
 def test_keep_last_value(spark):
@@ -119,8 +216,10 @@ def test_percentile_and_line(spark):
 def test_combination(spark):
     x, y = make(spark, a=[1.0, 2.0], b=[4.0, 0.0]), make(spark, t=[2.0, 0.0])
     assert values(combine.divide_series(x, y)) == {"divideSeries(a,t)": [0.5, N], "divideSeries(b,t)": [2, N]}
-    with pytest.raises(ValueError, match="exactly one"):
-        combine.divide_series(x, x)
+    with pytest.raises(Exception, match="exactly one"):
+        combine.divide_series(x, x).rows().collect()
+    with pytest.raises(Exception, match="different lengths"):
+        combine.divide_series_lists(x, y).rows().collect()
     assert values(combine.as_percent(x))["asPercent(a,sumSeries(*))"] == [20, 100]
     assert values(combine.as_percent(make(spark, a=[1.0]), make(spark, b=[2.0]), 0)) == {"asPercent(a,MISSING)": [N], "asPercent(MISSING,sumSeries(b))": [N]}
 
@@ -167,6 +266,8 @@ def test_retention():
     with pytest.raises(ValueError, match="multiples"):
         StorageRule.of("bad", "x", "10s:1d,15s:2d")
     assert closest_rollup("sum", ["average", "max"]) == "average"
+    assert [closest_rollup(w, ["average", "last"]) for w in ("sum", "min", "max", "last")] == ["last"] * 4
+    assert closest_rollup("sum", ["min", "max"]) == "max"
 
 
 def test_tag_expressions(spark):
