@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.functions.select import _checked
+from gridtide.functions.select import _checked as checked
 
 
 def node_pattern(node: str) -> str:
@@ -91,8 +91,13 @@ def names(defs: DataFrame) -> DataFrame:
 
 
 def select(defs: DataFrame, pattern: str) -> DataFrame:
-    """The definitions of the series that a pattern (with ;tags, if there are) finds."""
-    return defs.where(glob_filter(pattern, F.col("name")))
+    """The definitions of the series that a pattern finds; after ;s follow tags that they must have, name;k=v."""
+    path, *tags = pattern.split(";")
+    found = defs.where(glob_filter(path, F.col("name")))
+    for t in tags:
+        key, _, value = t.partition("=")
+        found = found.where(F.col("tags")[key] == value)
+    return found
 
 
 @dataclass(frozen=True)
@@ -121,7 +126,7 @@ class TagExpression:
         return self.operator == "!=" and self.value == ""
 
     def column(self, tags: Column) -> Column:
-        start = f"^(?:{_checked(self.value)})" if self.operator.endswith("~") else ""
+        start = f"^(?:{checked(self.value)})" if self.operator.endswith("~") else ""
         if self.tag == "__tag":
             keys = F.map_keys(tags)
             return {
@@ -176,12 +181,12 @@ def tag_terms(defs: DataFrame) -> DataFrame:
 
 
 def tag_names(defs: DataFrame, pattern: str = "") -> DataFrame:
-    return defs.select(F.explode(F.map_keys("tags")).alias("tag")).where(F.col("tag").rlike(f"^(?:{_checked(pattern)})")).distinct()
+    return defs.select(F.explode(F.map_keys("tags")).alias("tag")).where(F.col("tag").rlike(f"^(?:{checked(pattern)})")).distinct()
 
 
 def tag_values(defs: DataFrame, tag: str, pattern: str = "") -> DataFrame:
     """value, n."""
-    return defs.where(F.map_contains_key("tags", F.lit(tag))).groupBy(F.col("tags")[tag].alias("value")).agg(F.count("*").alias("n")).where(F.col("value").rlike(f"^(?:{_checked(pattern)})"))
+    return defs.where(F.map_contains_key("tags", F.lit(tag))).groupBy(F.col("tags")[tag].alias("value")).agg(F.count("*").alias("n")).where(F.col("value").rlike(f"^(?:{checked(pattern)})"))
 
 
 def complete_tags(defs: DataFrame, prefix: str, *expressions: str, limit: int = 100) -> DataFrame:
@@ -214,6 +219,6 @@ def prune(defs: DataFrame, rules: list[tuple[str, int]], now: int) -> DataFrame:
     """What is left when paths go whose series are all older than their rule allows. rules: (pattern, seconds; 0: never), the first that fits; else never."""
     cutoff = F.lit(0)
     for pattern, stale in reversed(rules):
-        cutoff = F.when(F.col("name").rlike(_checked(pattern)), F.lit(now - stale if stale else 0)).otherwise(cutoff)
+        cutoff = F.when(F.col("name").rlike(checked(pattern)), F.lit(now - stale if stale else 0)).otherwise(cutoff)
     last = F.max("last_update").over(Window.partitionBy("org", "name"))
     return defs.withColumn("_last", last).where(F.col("_last") >= cutoff).drop("_last")

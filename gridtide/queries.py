@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridtide.functions import across, combine, naming, pointwise, select, windows
 from gridtide.functions.registry import apply
 from gridtide.operators import grid, index, rollup
+from gridtide.plans.retention import StorageRule
+from gridtide.requests import Store, render
 from gridtide.series import SeriesList
 from gridtide.sources import metrics
 
@@ -451,3 +453,63 @@ add_tags("sumSeries_of_one", lambda sl: apply("sumSeries", select.grep(sl, "F.*U
 add_tags("groupByNode", lambda sl: apply("groupByNode", sl, 1, "max"), "status", {"name": "'orders'", "status": "status", "aggregatedBy": "'max'"}, "(SELECT DISTINCT status FROM S)")
 add_tags("divideSeries", lambda sl: apply("divideSeries", sl, apply("max", sl)), "'divideSeries(' || target || ',maxSeries(*))'", {"name": "'divideSeries(' || target || ',maxSeries(*))'"})
 add_tags("countSeries", lambda sl: apply("countSeries", sl), "'countSeries(*)'", {"name": "'countSeries(*)'"}, "(SELECT 1)")
+
+# ---- requests ----------------------------------------------------------------------------------
+
+#: Requests are for two years of orders, and for ten days of events.
+YEARS, DAYS, NOW = (820454400, 883612800), ("00:00_20240105", "00:00_20240115"), 1_720_000_000
+
+
+def order_store(spark: SparkSession, d: str) -> Store:
+    """Daily orders as definitions and points."""
+    sl = orders(spark, d)
+    return Store(sl.series.select("sid", "name", "tags", "interval"), sl.points.where("val IS NOT NULL"), intervals=[DAY])
+
+
+def event_store(spark: SparkSession, d: str) -> Store:
+    """Hourly events, kept for twenty days, with daily rollups for two years."""
+    sl = events(spark, d)
+    points = sl.points.where("val IS NOT NULL")
+    return Store(sl.series.select("sid", "name", "tags", "interval"), points, rollup.build(points, [DAY]), [StorageRule.of("events", "^events", "1h:20d,1d:2y")], [HOUR])
+
+
+def add_request(name: str, targets: str | list[str], sql: str, more: str = "", **options) -> None:
+    """sql: a SELECT of target, ts, val from S, at all times; those asked for are cut out of it."""
+    QUERIES[f"render_{name}"] = lambda spark, d: _rounded(render(order_store(spark, d), targets, *YEARS, now=NOW, **options))
+    SQL[f"render_{name}"] = f"{BASES['orders'][1]}{', ' + more if more else ''}, r AS ({sql}) SELECT target, ts, round(CAST(val AS DOUBLE), {DIGITS}) + 0.0 AS val FROM r WHERE ts > {YEARS[0]} AND ts <= {YEARS[1]}"
+
+
+add_request("pattern", "orders.F.*", "SELECT target, ts, val FROM S WHERE status = 'F'")
+add_request("path_with_tags", "orders.*.{1,2}-*;status=O", "SELECT target, ts, val FROM S WHERE status = 'O' AND priority[1] IN ('1', '2')")
+add_request(
+    "nested_and_piped", 'sumSeries(movingAverage(orders.{F,O}.*, "7d"))|scale(2)',
+    "SELECT 'scale(sumSeries(movingAverage(orders.{F,O}.*,\"7d\")),2)' AS target, ts, 2 * sum(m) AS val FROM (SELECT ts, avg(val) OVER (PARTITION BY target ORDER BY ts RANGE BETWEEN " + str(7 * DAY) + " PRECEDING AND 1 PRECEDING) AS m FROM S WHERE status IN ('F', 'O')) GROUP BY ts",
+)
+add_request("series_by_tag", "seriesByTag('name=orders', 'status!=P', 'priority=~[12]') | maxSeries()", "SELECT 'maxSeries(seriesByTag(''name=orders'',''status!=P'',''priority=~[12]''))' AS target, ts, max(val) AS val FROM S WHERE status <> 'P' AND priority[1] IN ('1', '2') GROUP BY ts")
+add_request(
+    "time_shift", 'divideSeries(sumSeries(orders.*.*), timeShift(sumSeries(orders.*.*), "365d"))',
+    f"SELECT 'divideSeries(sumSeries(orders.*.*),timeShift(sumSeries(orders.*.*), \"-365d\"))' AS target, a.ts, a.val / nullif(b.val, 0) AS val FROM t a LEFT JOIN t b ON b.ts = a.ts - {365 * DAY}", "t AS (SELECT ts, sum(val) AS val FROM S GROUP BY ts)",
+)
+add_request("named_arguments", 'aggregate(orders.*.*, func="max", xFilesFactor=0.3)', "SELECT 'maxSeries(orders.*.*)' AS target, ts, CASE WHEN count(val) >= 0.3 * count(*) AND count(val) > 0 THEN max(val) END AS val FROM S GROUP BY ts")
+add_request("targets", ["orders.F.1*", "aliasByNode(orders.O.*, 1, 2)"], "SELECT target, ts, val FROM S WHERE status = 'F' AND priority[1] = '1' UNION ALL SELECT status || '.' || priority, ts, val FROM S WHERE status = 'O'")
+add_request("percent", "asPercent(orders.F.*, sumSeries(orders.*.*))", "SELECT 'asPercent(' || target || ',sumSeries(orders.*.*))' AS target, ts, 100 * val / nullif(w, 0) AS val FROM S JOIN (SELECT ts, sum(val) AS w FROM S GROUP BY ts) USING (ts) WHERE status = 'F'")
+add_request("top_groups", 'highestMax(groupByNode(orders.*.*, 2, "sum"), 2)', f"SELECT g.target, ts, val FROM g SEMI JOIN (SELECT target FROM g WHERE ts > {YEARS[0]} AND ts <= {YEARS[1]} GROUP BY target ORDER BY max(val) DESC NULLS LAST, target LIMIT 2) USING (target)", "g AS (SELECT priority AS target, ts, sum(val) AS val FROM S GROUP BY ALL)")
+add_request(
+    "line", 'linearRegression(orders.O.*, "00:00_19960101", "00:00_19970101")',
+    "SELECT 'linearRegression(' || S.target || ', 820454400, 852076800)' AS target, ts, base + slope * ts / 86400 AS val FROM S JOIN l USING (target)",
+    "l AS (SELECT target, regr_slope(val, ts / 86400) AS slope, regr_intercept(val, ts / 86400) AS base FROM S WHERE status = 'O' AND ts >= 820454400 AND ts < 852076800 GROUP BY target)",
+)
+QUERIES["render_line"] = lambda spark, d: _rounded(render(order_store(spark, d), 'linearRegression(orders.O.*, "00:00_19960101", "00:00_19970101")', *YEARS, now=NOW), 3)
+SQL["render_line"] = SQL["render_line"].replace(f"AS DOUBLE), {DIGITS})", "AS DOUBLE), 3)")
+QUERIES["render_max_points"] = lambda spark, d: _rounded(render(order_store(spark, d), 'consolidateBy(orders.O.*, "max")', *YEARS, now=NOW, max_points=100))
+SQL["render_max_points"] = BASES["orders"][1] + f""", c AS (SELECT target, val, ts, count(*) OVER w AS n, min(ts) OVER w AS f, row_number() OVER (PARTITION BY target ORDER BY ts) - 1 AS i FROM S WHERE status = 'O' AND ts > {YEARS[0]} AND ts <= {YEARS[1]} WINDOW w AS (PARTITION BY target)),
+kk AS (SELECT *, CAST(greatest(1, ceil(n / 100.0)) AS BIGINT) AS k FROM c),
+z AS (SELECT *, CASE WHEN k > 1 AND n > 2 * k THEN ((-(f - {DAY}) % (k * {DAY})) + k * {DAY}) % (k * {DAY}) // {DAY} ELSE 0 END AS s FROM kk),
+u AS (SELECT target, val, ts, k, (i - s) // k AS u FROM z WHERE i >= s)
+SELECT 'consolidateBy(' || target || ',"max")' AS target, min(u.ts) + (any_value(k) - 1) * {DAY} AS ts, round(max(val), {DIGITS}) + 0.0 AS val FROM u GROUP BY target, u"""
+for _how, _agg in (("sum", "sum(val)"), ("average", "avg(val)"), ("max", "max(val)")):
+    _target = f'consolidateBy(events.*, "{_how}")'
+    QUERIES[f"render_rollup_{_how}"] = lambda spark, d, t=_target: _rounded(render(event_store(spark, d), t, *DAYS, now=NOW))
+    SQL[f"render_rollup_{_how}"] = BASES["events"][1] + f"""
+SELECT 'consolidateBy(' || target || ',"{_how}")' AS target, t AS ts, round({_agg}, {DIGITS}) + 0.0 AS val FROM (SELECT target, CAST(ceil(ts / {DAY}.0) AS BIGINT) * {DAY} AS t, val FROM S)
+WHERE t > epoch(TIMESTAMP '2024-01-05') AND t <= epoch(TIMESTAMP '2024-01-15') GROUP BY target, t"""
