@@ -1,17 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The training side is stored as postings (term, document, position) of the terms that
-matter for a set of test items; each posting carries the terms around it. A window of an item (ten
-consecutive words, or a shorter item as a whole) is looked up from its rarest terms: their
-lists, each shifted by the term's offset in the window, must agree on a beginning,
-and there all terms must stand in the window's order (exact phrases). With a slack, the shifted lists
-may differ by so much (proximity matches).
-
-Terms are 64-bit hashes of words. Items are worked through in blocks of a bounded number of
-words, so what goes to all tasks (a block's rarest terms) is bounded, however many items
-there are; all documents are searched for every block. Null texts have no words; documents and
-items without words match nothing. Rows, repeated ones too, are kept one for one; items may
-repeat, and count once by id.
+The training side is stored as postings (term, text, position) of the terms that matter for the test items. A window of
+an item (ten consecutive words, or a shorter item as a whole) is looked up from its rarest term: each posting of it says where
+the window would begin, and there the list of the next rarest term, shifted by the terms' offsets, must have a place within a
+slack. What both lists agree on is verified in the text: all words in their order are an exact
+phrase, most of the words within the slack are a proximity match.
+
+Terms are 64-bit hashes of words, texts are told by a hash (equal ones are searched once). The distinct words of
+the items are counted and indexed VOCABULARY at a time, so what goes to all tasks is bounded, however many items there are;
+the lists are joined by term, text and place, and no list is gathered anywhere. Null texts have no words; documents and
+items without words match nothing, whatever their ids. Rows, repeated ones and those with null ids too, are kept one for
+one; items may repeat, and count once by id. Texts and items may have any length.
 """
 
 from __future__ import annotations
@@ -25,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm import textbytes
-from gridtide.llm.spaces import written
+from gridtide.llm import bloom, textbytes
+from gridtide.llm.spaces import Scratch
 
 WINDOW = 10
 #: Terms of a window whose lists are intersected.
 RAREST = 2
-#: Words of the items in one block: a bound on what is sent to all tasks.
-BLOCK_WORDS = 2_000_000
+#: By how many words terms may stand elsewhere in a proximity match, and the share of a window's distinct terms that it has there.
+SLACK, NEAR_SHARE = 2, 0.8
+#: Terms that are sent to all tasks at once (8 bytes each).
+VOCABULARY = 2_000_000
 
 _U = np.uint64
 #: Word bytes after lower-casing A-Z: digits, a-z, and all bytes of characters beyond ASCII.
@@ -91,98 +92,146 @@ def term_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> Data
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, wanted: np.ndarray, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The index of the wanted terms: doc_id, copy (the text's hash, as Spark's xxhash64), term, position, around (terms from size - 1 before to size - 1 behind it), n_words.
+def _copies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each text's hash, as Spark's xxhash64."""
+    raw = data.tobytes()
+    return np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
 
-    Each document also has one row with a null term, and with its number of words.
-    """
+
+def postings(docs: DataFrame, wanted: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of the wanted terms: doc_id, copy (the text's hash), term, position, n_words. Each document also has one row with a null term, and with its number of words."""
     kind = docs.schema[doc_id].dataType
-    side = size - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 rows, terms = _terms(data, offsets)
-                at = textbytes.split_rows(rows, last - first)
-                raw = data.tobytes()
-                copy = np.array([xxhash.xxh64_intdigest(raw[a:b], seed=42) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
+                at, copy, n = textbytes.split_rows(rows, last - first), _copies(data, offsets), last - first
                 found = np.flatnonzero(_member(terms, wanted))
-                around = found[:, None] + np.arange(-side, side + 1)
-                inside = (around >= at[rows[found]][:, None]) & (around < at[rows[found] + 1][:, None])
-                around = np.where(inside, terms[np.clip(around, 0, max(len(terms) - 1, 0))] if len(terms) else around, 0)
-                n = last - first
                 who = np.concatenate([np.arange(n), rows[found]])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n, np.int32), np.arange(len(found) + 1, dtype=np.int32) * (2 * side + 1)])), pa.array(around.ravel()))
                 none = np.concatenate([np.ones(n, bool), np.zeros(len(found), bool)])
                 out = [
                     batch.column("doc_id").take(pa.array(first + who)),
                     pa.array(copy[who]),
                     pa.array(np.concatenate([np.zeros(n, np.int64), terms[found]]), mask=none),
                     pa.array(np.concatenate([np.zeros(n, np.int64), found - at[rows[found]]]), mask=none),
-                    lists,
                     pa.array(np.diff(at).astype(np.int64)[who]),
                 ]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "copy", "term", "position", "around", "n_words"])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "copy", "term", "position", "n_words"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind.simpleString()}, copy bigint, term bigint, position bigint, n_words bigint")
+
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind.simpleString()}, copy bigint, term bigint, position bigint, around array<bigint>, n_words bigint")
+def _place_key(copy: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A key of a place in a text."""
+    return textbytes.mix(copy.view(np.uint64) + start.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def words_at(docs: DataFrame, places: DataFrame, before: int, behind: int, text: str = "text") -> DataFrame:
+    """copy, start, words: of each place (copy, start) in a text the terms from `before` before it on, `behind` of them from it on.
+
+    Nulls stand where the text has none. A Bloom filter of bounded size keeps most other places from being moved.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copy, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("copy", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(_place_key(copy, start))], ["key"])
+
+    kept = bloom.build(places.select("copy", "start").mapInArrow(keyed, "key bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # texts that this task has had, as far as it remembers
+        for batch in batches:
+            for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
+                rows, terms = _terms(data, offsets)
+                at, copy = textbytes.split_rows(rows, last - first), _copies(data, offsets)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new = np.array([not (c in seen or seen.add(c)) for c in copy.tolist()], bool)
+                position = np.arange(len(terms)) - at[rows]
+                found = np.flatnonzero(new[rows] & bloom.holds(kept, _place_key(copy[rows], position).view(np.uint64)))
+                around = found[:, None] + np.arange(-before, behind)
+                outside = (around < at[rows[found]][:, None]) | (around >= at[rows[found] + 1][:, None])
+                lists = terms[np.clip(around, 0, max(len(terms) - 1, 0))] if len(terms) else around
+                values = pa.array(lists.ravel(), mask=outside.ravel())
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (before + behind)), values)
+                yield pa.RecordBatch.from_arrays([pa.array(copy[rows[found]]), pa.array(position[found]), words], ["copy", "start", "words"])
+
+    found = docs.select(F.col(text).alias("_text")).mapInArrow(run, "copy bigint, start bigint, words array<bigint>")
+    return found.join(places.select("copy", "start").distinct(), ["copy", "start"], "left_semi").dropDuplicates(["copy", "start"])
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """windows with term, offset and rank (0: rarest) for the rarest terms of each; windows with a term that no document has are left out."""
-    each = windows.select("item_id", "number", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    w = Window.partitionBy("item_id", "number")
-    each = each.withColumn("_all", F.count("n").over(w) == F.size("terms")).withColumn("rank", F.row_number().over(w.orderBy("n", "offset")) - 1)
-    return each.where(F.col("_all") & (F.col("rank") < rarest)).drop("_all", "n")
-
-
-def phrase_matches(index: DataFrame, anchors: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """doc_id, copy, item_id, number, start, length: every place where a whole window stands."""
-    # the anchors of a block are bounded (BLOCK_WORDS), the index is not
-    hits = index.where(F.col("term").isNotNull()).join(F.broadcast(anchors), "term")
-    start = (F.col("position") - F.col("offset")).alias("start")
-    side = (F.size("around") - 1) / 2
-    whole = F.slice("around", (side - F.col("offset") + 1).cast("int"), F.size("terms")) == F.col("terms")
-    hits = hits.where((F.col("position") >= F.col("offset")) & whole)
-    agreed = hits.groupBy("doc_id", "copy", "item_id", "number", start).agg(F.countDistinct("rank").alias("n"), F.max(F.size("terms")).alias("length"))
-    return agreed.where(F.col("n") == F.least(F.lit(rarest), F.col("length"))).drop("n")
-
-
-def proximity_matches(index: DataFrame, anchors: DataFrame, slack: int) -> DataFrame:
-    """doc_id, copy, item_id, number, start: where a window's rarest terms stand within slack of their offsets from one another."""
-    hits = index.where(F.col("term").isNotNull()).join(F.broadcast(anchors.drop("terms")), "term").select("doc_id", "copy", "item_id", "number", "rank", (F.col("position") - F.col("offset")).alias("start"))
-    w = Window.partitionBy("doc_id", "copy", "item_id", "number").orderBy("start").rangeBetween(-slack, slack)
-    near = hits.withColumn("_n", F.size(F.collect_set("rank").over(w)))
-    most = anchors.groupBy("item_id", "number").agg(F.count("*").alias("_of"))
-    return near.where("rank = 0").join(F.broadcast(most), ["item_id", "number"]).where("_n = _of").select("doc_id", "copy", "item_id", "number", "start").distinct()
-
-
-def blocks_of(items: DataFrame, text: str = "text") -> int:
-    """In how many blocks to take the items, so that each has about BLOCK_WORDS words at most."""
-    chars = items.agg(F.sum(F.length(text))).first()[0] or 0
-    return max(1, -(-chars // (4 * BLOCK_WORDS)))
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
-    """doc_id, copy, n_words, n_hit, items (sorted distinct ids as strings) for every row of docs."""
-    # a window is told by its terms: rows with one id may have different ones
-    windows = item_windows(items, item_id, size=size).withColumn("number", F.xxhash64("terms")).dropDuplicates(["item_id", "number"])
-    windows = written(windows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n := blocks_of(items)))), "windows")
-    found, rows = [], None
-    for k in range(n):
-        own = windows.where(F.col("block") == k).drop("block")
-        vocabulary = np.sort(np.array([r.term for r in own.select(F.explode("terms").alias("term")).distinct().collect()], np.int64))
-        # no more than the vocabulary; a count of it per task is summed up
-        counts = written(term_counts(docs, vocabulary, text), "counts")
-        anchors = written(rarest_terms(own, counts), "anchors")
-        wanted = np.sort(np.array([r.term for r in anchors.select("term").distinct().collect()], np.int64))
-        index = written(postings(docs, wanted, doc_id, text, size), "postings")
-        found.append(phrase_matches(index, anchors))
-        rows = index.where(F.col("term").isNull()).select("doc_id", "copy", "n_words") if rows is None else rows
-    hits = reduce(DataFrame.unionByName, found)
+    """windows (window, terms) with the rarest terms that documents have: places, an array of struct(term, offset), the rarest first. Windows without any are left out."""
+    each = windows.select("window", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
+    places = F.slice(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))), 1, rarest)  # of as many as a window has words
+    return each.groupBy("window").agg(F.any_value("terms").alias("terms"), places.alias("p")).select("window", "terms", F.transform("p", lambda x: F.struct(x.term.alias("term"), x.offset.cast("long").alias("offset"))).alias("places"))
+
+
+def candidates(index: DataFrame, anchors: DataFrame, slack: int = SLACK) -> DataFrame:
+    """copy, window, start: where the lists of a window's rarest terms, shifted by their offsets, agree within slack."""
+    wide = 2 * slack + 1
+    held = index.where(F.col("term").isNotNull())
+    # positions of a term in one text by stretches of `wide` words: no more than that many in a row, and equal texts' are one
+    lists = held.groupBy("copy", "term", F.floor(F.col("position") / wide).alias("stretch")).agg(F.collect_set("position").alias("positions"))
+    first, second = F.get("places", F.lit(0)), F.get("places", F.lit(1))
+    anchors = anchors.select("window", first.term.alias("term"), first.offset.alias("offset"), second.term.alias("other"), (second.offset - first.offset).alias("shift"))
+    own = lists.join(anchors, "term").select("copy", "window", "offset", "other", "shift", F.explode("positions").alias("position"))
+    begin = F.col("position") - F.col("offset")
+    own = own.where(begin >= -slack).withColumn("start", F.greatest(begin, F.lit(0)))
+    alone = own.where("other IS NULL").select("copy", "window", "start")
+    expected = F.col("position") + F.col("shift")
+    stretches = F.array_distinct(F.array(F.floor((expected - slack) / wide), F.floor((expected + slack) / wide)))
+    asked = own.where("other IS NOT NULL").select("copy", "window", "start", expected.alias("expected"), F.col("other").alias("term"), F.explode(stretches).alias("stretch"))
+    both = asked.join(lists, ["copy", "term", "stretch"]).where(F.exists("positions", lambda p: F.abs(p - F.col("expected")) <= slack))
+    return alone.unionByName(both.select("copy", "window", "start")).distinct()
+
+
+def matches(docs: DataFrame, found: DataFrame, anchors: DataFrame, size: int, text: str = "text", slack: int = SLACK, share: float = NEAR_SHARE) -> DataFrame:
+    """copy, window, start, length, exact: candidates that the texts confirm, as a whole phrase or as a proximity match."""
+    words = words_at(docs, found, slack, size + slack, text)
+    both = found.join(anchors.select("window", "terms"), "window").join(words, ["copy", "start"])
+    length = F.size("terms")
+    exact = F.slice("words", slack + 1, length) == F.col("terms")
+    distinct = F.array_distinct("terms")
+    near = F.size(F.array_intersect(distinct, F.slice("words", F.lit(1), length + 2 * slack))) >= F.ceil(F.lit(share) * F.size(distinct))
+    return both.select("copy", "window", "start", length.alias("length"), F.coalesce(exact, F.lit(False)).alias("exact"), near.alias("near")).where("exact OR near").drop("near")
+
+
+def _vocabularies(windows: DataFrame) -> Iterator[np.ndarray]:
+    """The windows' distinct terms, sorted, about VOCABULARY at a time."""
+    terms = windows.select(F.explode("terms").alias("term")).distinct()
+    parts = -(-terms.count() // VOCABULARY)
+    for k in range(parts):
+        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).toArrow()
+        yield np.sort(own.column("term").to_numpy())
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """doc_id, copy, n_words, n_hit, items (sorted distinct ids as strings), n_near (items near which the text comes by proximity matches) for every row of docs."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    # a window is told by its terms: rows with one id may have different ones, and items may share some
+    of_items = scratch.written(item_windows(items, item_id, size=size).select(F.col("item_id").cast("string").alias("item"), F.xxhash64("terms").alias("window"), "terms"), "windows")
+    windows = of_items.groupBy("window").agg(F.any_value("terms").alias("terms"))
+    counts = [term_counts(docs, own, text) for own in _vocabularies(windows)]
+    none = docs.sparkSession.createDataFrame([], "term bigint, n bigint")
+    counts = scratch.written(reduce(DataFrame.unionByName, counts, none), "counts")
+    anchors = scratch.written(rarest_terms(windows, counts), "anchors")
+    parts = [postings(docs, own, doc_id, text) for own in _vocabularies(anchors.select(F.expr("places.term").alias("terms")))] or [postings(docs, np.zeros(0, np.int64), doc_id, text)]
+    index = scratch.written(reduce(DataFrame.unionByName, [parts[0], *[p.where("term IS NOT NULL") for p in parts[1:]]]), "postings")
+    rows = index.where(F.col("term").isNull())
+    rows = rows.select("doc_id", "copy", "n_words")
+    found = scratch.written(candidates(index, anchors, slack), "candidates")
+    hits = scratch.written(matches(docs, found, anchors, size, text, slack), "matches")
+    exact = hits.where("exact")
     # words inside any window: each stretch counts what reaches beyond those that begin before it
-    by_place = hits.groupBy("doc_id", "copy", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    before = Window.partitionBy("doc_id", "copy").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    by_place = exact.groupBy("copy", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    before = Window.partitionBy("copy").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     by_place = by_place.withColumn("_from", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
-    by_doc = by_place.groupBy("doc_id", "copy").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("_from"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    same = [rows["doc_id"].eqNullSafe(by_doc["doc_id"]), rows["copy"] == by_doc["copy"]]
-    return rows.join(by_doc, same, "left").select(rows["doc_id"], rows["copy"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    n_hit = by_place.groupBy("copy").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("_from"))).alias("n_hit"))
+    own_items = of_items.select("item", "window").distinct()
+    by_item = hits.groupBy("copy", "window").agg(F.max("exact").alias("exact")).join(own_items, "window").groupBy("copy", "item").agg(F.max("exact").alias("exact"))
+    by_copy = by_item.groupBy("copy").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if(~F.col("exact")).alias("n_near"))
+    out = rows.join(by_copy.join(n_hit, "copy", "left"), "copy", "left")
+    return out.select("doc_id", "copy", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

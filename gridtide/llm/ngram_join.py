@@ -143,7 +143,7 @@ def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
         yield counted()
 
     counts = docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return bloom.build(counts.where(F.col("n") >= FREQUENT).select("token"))
+    return bloom.build(written(counts.where(F.col("n") >= FREQUENT).select("token"), "frequent"))
 
 
 def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

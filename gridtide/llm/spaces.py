@@ -1,23 +1,5 @@
 """Shared-folder tables that cut lineage: rows written where every executor can read them."""
 
-from __future__ import annotations
+from gridtide.shared import Scratch, shared_folder, written
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one under the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut_lineage"
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later reads don't compute it again, and survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Scratch", "shared_folder", "written"]

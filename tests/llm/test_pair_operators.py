@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridtide.llm import line_dedup, ngram_join, op6
 from gridtide.llm.components import components
-from gridtide.llm.decontaminate import find_contamination, item_windows, postings, proximity_matches, rarest_terms, term_counts
+from gridtide.llm import decontaminate
+from gridtide.llm.decontaminate import find_contamination
 from gridtide.llm.line_dedup import dedup_lines, edits_allowed, within_edits
 from gridtide.llm.ngram_join import similar_components
 
@@ -171,28 +172,66 @@ def test_contamination(spark):
     assert find_contamination(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    from gridtide.llm import decontaminate
-
+def test_parts_of_the_vocabulary(spark, monkeypatch):
     r = random.Random(7)
     items = spark.createDataFrame([(i, " ".join(words(r, 12))) for i in range(12)], "item_id long, text string")
     docs = items.select((F.col("item_id") * 2).alias("doc_id"), "text")
     whole = find_contamination(docs, items).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
-    assert decontaminate.blocks_of(items) > 2
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 20)
     assert find_contamination(docs, items).orderBy("doc_id").collect() == whole
 
 
+def brute_near(docs, items, slack=2):
+    """Items that each text comes near: the two rarest terms within the slack, and most terms of the window about there."""
+    texts = {t: (t or "").split() for _, t in docs}
+    n = {}
+    for _, t in docs:
+        for w in texts[t]:
+            n[w] = n.get(w, 0) + 1
+    out = {}
+    for t, w in texts.items():
+        for i, x in items:
+            x = x.split()
+            for k in range(max(1, len(x) - 9)):
+                win = x[k : k + 10]
+                rare = sorted((n[v], j, v) for j, v in enumerate(win) if v in n)[:2]
+                for p in range(len(w)):
+                    begin = p - rare[0][1] if rare and w[p] == rare[0][2] else None
+                    if begin is None or begin < -slack or (len(rare) > 1 and not any(abs(q - p - rare[1][1] + rare[0][1]) <= slack and w[q] == rare[1][2] for q in range(len(w)))):
+                        continue
+                    begin = max(begin, 0)
+                    own = set(w[max(0, begin - slack) : begin + len(win) + slack])
+                    if w[begin : begin + len(win)] == win:
+                        out.setdefault(t, {})[i] = True
+                    elif len(own & set(win)) >= 0.8 * len(set(win)):
+                        out.setdefault(t, {}).setdefault(i, False)
+    return sorted(((i, sorted(str(k) for k, e in out.get(t, {}).items() if e), sum(not e for e in out.get(t, {}).values())) for i, t in docs), key=repr)
+
+
 def test_proximity(spark):
-    items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "red green blue"), (2, "red x y green"), (3, "red " + "x " * 30 + "green"), (4, "green red")], "doc_id long, text string")
-    windows = item_windows(items)
-    vocabulary = np.sort(np.array([r.t for r in windows.select(F.explode("terms").alias("t")).distinct().collect()]))
-    anchors = rarest_terms(windows, term_counts(docs, vocabulary))
-    index = postings(docs, vocabulary)
-    near = lambda slack: sorted({r.doc_id for r in proximity_matches(index, anchors, slack).collect()})
-    assert 1 in near(0)
-    assert 3 not in near(5)
+    r = random.Random(17)
+    items = [(i, " ".join(words(r, 14))) for i in range(8)] + [(8, "one two"), (9, "red red red blue red red red red red red blue")]
+    docs = []
+    for i in range(150):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 3)):
+            p = r.randrange(len(w) + 1)
+            w[p : p + r.randint(0, 1)] = words(r, r.randint(0, 2))
+        docs.append((i if i % 10 else None, " ".join(words(r, r.randint(0, 6)) + w + words(r, r.randint(0, 6)))))
+    docs += docs[:5]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_near(docs, items)
+    assert sorted(((x.doc_id, x["items"], x.n_near) for x in got), key=repr) == want
+    assert sum(n for *_, n in want) > 20
+
+
+def test_huge_items_and_null_ids(spark):
+    r = random.Random(18)
+    whole = words(r, 30_000)
+    items = spark.createDataFrame([(1, " ".join(whole)), (None, " ".join(whole[100:115]))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, " ".join(whole[20_000:20_020])), (None, None), (5, " ".join(whole[100:112])), (5, "nothing")], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in find_contamination(docs, items).collect()), key=repr)
+    assert got == sorted([(None, 20, 20, ["1"]), (None, 0, 0, []), (5, 12, 12, ["1"]), (5, 1, 0, [])], key=repr)
 
 
 def test_op6_sql(spark):
