@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.spaces import written
+from gridtide.llm.spaces import Scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -14,11 +14,12 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(m, "u").withColumn("m", F.least("u", "m"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node in pairs (two columns of one type; order, loops and repeats don't matter)."""
+def components(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """node, component (its least node) for every node in pairs (two columns of one type; order, loops and repeats don't matter). Each round's edges are a table in scratch, of which the last stays."""
+    scratch = scratch or Scratch(pairs.sparkSession, "components")
     a, b = pairs.columns
     loops = pairs.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
-    edges = written(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    edges = scratch.written(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +27,9 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         starred = _least(down)
         small = starred.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        smaller = scratch.written(small, "edges")
+        scratch.drop(edges)
+        edges = smaller
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

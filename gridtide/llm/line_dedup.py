@@ -2,8 +2,8 @@
 
 Lines that are equal, or within a few edits of one another,
 form classes (chains of such links included); of each class the line that comes first by document id and
-line number stays, and the others go. So many edits are allowed as the shorter line's length gives: one from
-ONE_EDIT on, two from TWO_EDITS on; shorter lines must be equal. Blank lines (of white space alone) always stay.
+line number stays, and the others go. So many edits are allowed as the shorter line's length gives: `edits` says from which
+length on one is, two are, and so on (EDITS by default, at most 30 of them); shorter lines must be equal. Blank lines (of white space alone) always stay.
 
 A line is cut into one segment more than edits allowed; a line within that distance holds one of
 the segments unchanged, nearly at its place. Segments are indexed with the line's length and their number, and
@@ -15,12 +15,13 @@ characters, of which it adds and removes two at most). As only classes are asked
 its first indexed one, and afterwards only lines of a list that aren't in one class yet. Equal lines are one node from
 the beginning (by two hashes, 96 bits).
 
-Null texts have one empty line and stay null. Rows that are equal in id and text are one document; all are kept.
+Null texts have one empty line and stay null. Rows that are equal in id and text are one document; all are kept. Null ids
+come first in the order. Lines and texts of any length are looked at whole. An empty table gives one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,19 +32,20 @@ from pyspark.sql import functions as F
 
 from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
-from gridtide.llm.spaces import written
+from gridtide.llm.spaces import Scratch
 
-LEAST_CHARS, ONE_EDIT, TWO_EDITS = 1, 24, 48
-MOST_EDITS = 2
+LEAST_CHARS = 1
+#: One edit from 24 characters on, two from 48 on. Look-ups, and the work with them, grow with the cube of the edits.
+EDITS = (24, 48)
 BLANK = " \t\r\x0b\f"
 
 _U = np.uint64
 _CODE = textbytes.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
-def edits_allowed(n):
+def edits_allowed(n, edits: Sequence[int] = EDITS):
     """Of a line of n characters (a number or an array)."""
-    return np.where(n >= TWO_EDITS, 2, np.where(n >= ONE_EDIT, 1, 0))
+    return np.searchsorted(np.array(edits), n, "right")
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,29 +55,29 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return each.where((chars >= LEAST_CHARS) & (F.length(F.trim("_text", F.lit(BLANK))) > 0)).select("doc_id", "copy", "line", F.xxhash64("_text").alias("node"), F.hash("_text").alias("check"), chars.alias("chars"))
 
 
-def segments(n: int) -> list[tuple[int, int]]:
+def segments(n: int, edits: Sequence[int] = EDITS) -> list[tuple[int, int]]:
     """(start, end) of the segments of a line of n characters: as even as can be, longer ones last."""
-    m = int(edits_allowed(n)) + 1
+    m = int(edits_allowed(n, edits)) + 1
     short, longer = n // m, n % m
     sizes = [short + (i >= m - longer) for i in range(m)]
     ends = np.cumsum(sizes).tolist()
     return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
-def lookups(n: int) -> list[tuple[int, int, int, int, bool]]:
+def lookups(n: int, edits: Sequence[int] = EDITS) -> list[tuple[int, int, int, int, bool]]:
     """(length, segment's number, start, end, whether it's the line's own segment) of what a line of n characters looks up."""
     found = []
-    for size in range(max(ONE_EDIT, n - MOST_EDITS), n + 1):
-        more, k = n - size, int(edits_allowed(size))
+    for size in range(max(edits[0], n - len(edits)), n + 1):
+        more, k = n - size, int(edits_allowed(size, edits))
         if more > k:
             continue
-        for i, (s, e) in enumerate(segments(size)):
+        for i, (s, e) in enumerate(segments(size, edits)):
             low, high = max(s - i, s + more - (k - i), 0), min(s + i, s + more + (k - i), n - (e - s))
             found += [(size, i, at, at + e - s, size == n and at == s) for at in range(low, high + 1)]
     return found
 
 
-def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+def index_keys(docs: DataFrame, text: str = "text", edits: Sequence[int] = EDITS) -> DataFrame:
     """key, node, indexed: segments and look-ups of all lines for which edits are allowed (a line may come more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,7 @@ def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                 nodes, lines = [], []
                 for t in col.slice(first, last - first).to_pylist():
                     for x in t.split("\n"):
-                        if len(x) >= ONE_EDIT and x.strip(BLANK):
+                        if len(x) >= edits[0] and x.strip(BLANK):
                             node = xxhash.xxh64_intdigest(x.encode(), seed=42)  # as Spark's xxhash64
                             if node not in seen:
                                 seen.add(node)
@@ -103,8 +105,8 @@ def index_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                     if len(x) not in plans:
                         if len(plans) > 20_000:
                             plans.clear()
-                        got = np.array(lookups(len(x)), np.int64).reshape(-1, 5)
-                        plans[len(x)] = (got[:, 2], got[:, 3], textbytes.mix((got[:, 0] * 4 + got[:, 1]).astype(np.uint64)), got[:, 4].astype(bool))
+                        got = np.array(lookups(len(x), edits), np.int64).reshape(-1, 5)
+                        plans[len(x)] = (got[:, 2], got[:, 3], textbytes.mix((got[:, 0] * (len(edits) + 2) + got[:, 1]).astype(np.uint64)), got[:, 4].astype(bool))
                     s, e, salt, mine = plans[len(x)]
                     starts.append(s + begins[k])
                     ends.append(e + begins[k])
@@ -182,7 +184,7 @@ def within_edits(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
     return possible & (distance <= most)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, text: str, least: int) -> DataFrame:
     """node, line, s1, s2, s3 (its sketches): the lines of the nodes. A Bloom filter of fixed size keeps nearly all other lines from being moved."""
     kept = bloom.build(nodes.select("node"))
 
@@ -193,7 +195,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 found: dict[int, str] = {}
                 for t in col.slice(first, last - first).to_pylist():
                     for x in t.split("\n"):
-                        if len(x) >= ONE_EDIT:
+                        if len(x) >= least:
                             found.setdefault(xxhash.xxh64_intdigest(x.encode(), seed=42), x)
                 keys = np.array(list(found), np.uint64)
                 take = bloom.holds(kept, keys)
@@ -204,7 +206,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node bigint, line string, s1 bigint, s2 bigint, s3 bigint").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, edits: Sequence[int]) -> DataFrame:
     """Of the pairs (a, b), those within the edits allowed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,52 +214,63 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             n = np.minimum(pdf["x"].str.len(), pdf["y"].str.len()).to_numpy(np.int64)
             order, good = np.argsort(n, kind="stable"), np.zeros(len(pdf), bool)
             for part in np.array_split(order, max(1, len(order) // 2_000)):  # pairs of about one length together
-                good[part] = within_edits(pdf["x"].iloc[part].tolist(), pdf["y"].iloc[part].tolist(), edits_allowed(n[part]))
+                good[part] = within_edits(pdf["x"].iloc[part].tolist(), pdf["y"].iloc[part].tolist(), edits_allowed(n[part], edits))
             yield pdf.loc[good, ["a", "b"]]
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, scratch: Scratch, text: str = "text", edits: Sequence[int] = EDITS) -> DataFrame:
     """node, component: lines with others within the edits allowed; lines without such aren't listed."""
     by_key = Window.partitionBy("key")
-    keys = index_keys(docs, text)
-    lists = keys.withColumn("n", F.count("*").over(by_key)).where("n > 1").withColumn("head", F.min(F.when(F.col("indexed"), F.col("node"))).over(by_key))
+    keys = index_keys(docs, text, edits)
+    entries = keys.withColumn("n", F.count("*").over(by_key)).where("n > 1").withColumn("head", F.min(F.when(F.col("indexed"), F.col("node"))).over(by_key))
     other = F.max(F.col("node") != F.col("head")).over(by_key)
-    lists = written(lists.where(F.col("head").isNotNull()).withColumn("other", other).where("other").drop("n", "other"), "lists")
-    texts = written(_texts(docs, lists.select("node").distinct(), text), "lines")
+    entries = scratch.written(entries.where(F.col("head").isNotNull()).withColumn("other", other).where("other").drop("n", "other"), "lists")
+    nodes = scratch.written(entries.select("node").distinct(), "nodes")
+    texts = scratch.written(_texts(docs, nodes, text, edits[0]), "lines")
     sketched = texts.select("node", F.length("line").alias("n"), "s1", "s2", "s3")
-    lists = written(lists.join(sketched, "node"), "sketched")
+    lists = scratch.written(entries.join(sketched, "node"), "sketched")
+    scratch.drop(entries, nodes)
 
     of_heads = sketched.select(*[F.col(c).alias(f"head_{c}" if c != "node" else "head") for c in sketched.columns])
-    heads = lists.where("node != head").join(of_heads, "head").where(_may_link("", "head_"))
-    heads = written(heads.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "heads")
-    links = written(_linked(heads, texts), "links")
-    joined = written(components(links), "joined")
+    heads = lists.where("node != head").join(of_heads, "head").where(_may_link("", "head_", edits))
+    heads = scratch.written(heads.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "heads")
+    links = scratch.written(_linked(heads, texts, edits), "links")
+    joined = scratch.written(components(links, scratch), "joined")
 
     known = lists.drop("head").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_lists = written(known.join(several, "key").distinct(), "open")
+    open_lists = scratch.written(known.join(several, "key").distinct(), "open")
+    scratch.drop(lists)
     x, y = open_lists.where("indexed").alias("x"), open_lists.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y."))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", edits))
     apart = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    apart = written(apart.join(heads, ["a", "b"], "left_anti"), "apart")
-    return components(links.unionByName(_linked(apart, texts)))
+    apart = scratch.written(apart.join(heads, ["a", "b"], "left_anti"), "apart")
+    more = scratch.written(links.unionByName(_linked(apart, texts, edits)), "more")
+    out = scratch.written(components(more, scratch), "classes")
+    scratch.drop(texts, heads, links, joined, open_lists, apart, more)
+    return out
 
 
-def _may_link(one: str, other: str) -> Column:
+def _may_link(one: str, other: str, edits: Sequence[int]) -> Column:
     """Whether the lengths and sketches of two lines (columns with these prefixes) allow them to be within the edits allowed."""
     n, m = F.col(f"{one}n"), F.col(f"{other}n")
     differ = [F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in ("s1", "s2", "s3")]
-    most = F.when(F.least(n, m) >= TWO_EDITS, 2).otherwise(1)
+    most = F.lit(1)
+    for k, length in enumerate(edits[1:], 2):
+        most = F.when(F.least(n, m) >= length, k).otherwise(most)
     return (F.abs(n - m) <= most) & (differ[2] <= 2 * most) & (differ[0] + differ[1] <= 3 * most)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: Sequence[int] = EDITS) -> DataFrame:
     """docs with text rewritten, and n_lines, n_exact and n_near: lines, and those that went because an equal or a near one came before."""
-    lines = written(lines_of(docs, doc_id, text), "all_lines")
-    near = near_classes(docs, text)
+    if not edits or list(edits) != sorted(edits) or len(edits) > 30:
+        raise ValueError("edits must be rising lengths, 30 at most")
+    scratch = Scratch(docs.sparkSession, "line_dedup")
+    lines = scratch.written(lines_of(docs, doc_id, text), "all_lines")
+    near = near_classes(docs, scratch, text, edits)
     place = F.struct("doc_id", "copy", "line")
     equal = lines.groupBy("node", "check").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # lines with near ones are told by their component, others by both hashes

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
-from gridtide.llm.spaces import written
+from gridtide.llm.spaces import Scratch
 
 #: A token in so many sets, as far as they are near one another in the input, is of the frequent class.
 FREQUENT = 32
@@ -122,7 +122,7 @@ class _New:
         return out
 
 
-def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
+def frequent_tokens(docs: DataFrame, k: int, scratch: Scratch, text: str = "text") -> np.ndarray:
     """A Bloom filter of tokens that are in FREQUENT sets or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def frequent_tokens(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
         yield counted()
 
     counts = docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return bloom.build(written(counts.where(F.col("n") >= FREQUENT).select("token"), "frequent"))
+    return bloom.build(scratch.written(counts.where(F.col("n") >= FREQUENT).select("token"), "frequent"))
 
 
 def _prefixes(tokens: np.ndarray, at: np.ndarray, n: np.ndarray, take: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,42 +256,47 @@ def repeated(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5),
 def _grouped(docs: DataFrame, k: int, threshold: Fraction, doc_id: str, text: str) -> DataFrame:
     """doc_id, copy, n, least and least_copy (of the component's ids and hashes) for every row."""
     t = Fraction(threshold)
-    digests = written(set_digests(docs, k, doc_id, text), "digests")
-    frequent = frequent_tokens(docs, k, text)
+    scratch = Scratch(docs.sparkSession, "ngram_join")
+    digests = scratch.written(set_digests(docs, k, doc_id, text), "digests")
+    frequent = frequent_tokens(docs, k, scratch, text)
     by_key = Window.partitionBy("key").orderBy("n", "node")
     entries = index_entries(docs, k, t, frequent, text)
     whole = Window.partitionBy("key")
     listed = entries.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo != hi").drop("lo", "hi")
     before = F.lag(F.struct("node", "n", "first")).over(by_key)
-    listed = written(listed.withColumn("before", before), "lists")
-    nodes = written(digests.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
+    listed = scratch.written(listed.withColumn("before", before), "lists")
+    nodes = scratch.written(digests.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs, by the whole sets of one document for each node."""
-        pairs = written(_by_sketches(pairs, nodes, t), "pairs")
+        pairs = scratch.written(_by_sketches(pairs, nodes, t), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
-        return written(_linked(pairs, token_sets(docs, wanted, k, doc_id, text), t), "links")
+        wanted = scratch.written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+        out = scratch.written(_linked(pairs, token_sets(docs, wanted, k, doc_id, text), t), "links")
+        scratch.drop(pairs, wanted)
+        return out
 
     # neighbours in each list
     near = listed.where(F.col("before").isNotNull() & (F.col("before.node") != F.col("node")))
     near = near.where(_may_link(F.col("n"), F.col("first"), F.col("before.n"), F.col("before.first"), t))  # of any key, not only of the first shared one
     near = near.select(F.least("node", "before.node").alias("a"), F.greatest("node", "before.node").alias("b")).distinct()
     links = linked(near)
-    joined = written(components(links), "joined")
+    joined = scratch.written(components(links, scratch), "joined")
 
     # all other pairs of a list that aren't in one component
     known = listed.drop("before", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     folded = nodes.select("node", *[F.when(F.col("n") >= least, _folded("sketch", F.lit(many))).alias(c) for c, least, many in CARRIED])
     folded = folded.select("node", *[F.get(c, F.lit(i)).alias(f"{c}{i}") for c, _, many in CARRIED for i in range(many)])
-    open_lists = written(known.join(several, "key").distinct().join(folded, "node"), "open")
+    open_lists = scratch.written(known.join(several, "key").distinct().join(folded, "node"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     differ = [reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}{i}").bitwiseXOR(F.col(f"y.{c}{i}"))) for i in range(many)]) for c, _, many in CARRIED]
     bits = F.greatest(*differ)  # those that not both have are null
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.n"), F.col("x.position"), F.col("y.n"), F.col("y.position"), t) & _few_apart(bits, F.col("x.n"), F.col("y.n"), t))
     apart = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    joined = components(links.unionByName(linked(apart)))
+    more = linked(apart)
+    joined = scratch.written(components(links.unionByName(more), scratch), "components")
+    scratch.drop(listed, nodes, links, more, open_lists)
 
     rows = digests.drop("sketch").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min("copy").alias("least_copy"))

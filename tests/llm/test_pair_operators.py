@@ -92,31 +92,37 @@ def test_sketches_bound_edits():
         assert bits[2].max() <= 2 * k
 
 
-def brute_lines(docs):
+def brute_lines(docs, edits=line_dedup.EDITS):
+    """id, text, lines that went because of an equal one, and because of a near one, for each row."""
     usable = lambda x: len(x) >= line_dedup.LEAST_CHARS and x.strip(" ")
     places = sorted({(i, k, t): x for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if usable(x)}.items())
     lines = sorted({x for _, x in places})
-    pairs = [(a, b) for a, b in itertools.combinations(lines, 2) if abs(len(a) - len(b)) <= (m := int(edits_allowed(min(len(a), len(b))))) and distance(a, b) <= m]
+    allowed = lambda a, b: sum(min(len(a), len(b)) >= e for e in edits)
+    pairs = [(a, b) for a, b in itertools.combinations(lines, 2) if abs(len(a) - len(b)) <= (m := allowed(a, b)) and distance(a, b) <= m]
     group = groups(pairs, lines)
-    seen, gone = set(), set()
+    first, gone = {}, {}
     for place, x in places:
-        if group[x] in seen:
-            gone.add(place)
-        seen.add(group[x])
-    return sorted(((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k, t) not in gone)) for i, t in docs), key=repr)
+        if group[x] in first:
+            gone[place] = x == first[group[x]]
+        first.setdefault(group[x], x)
+    out = []
+    for i, t in docs:
+        own = [gone.get((i, k, t)) for k in range(len(t.split("\n")))] if t is not None else []
+        out.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if own[k] is None), own.count(True), own.count(False)))
+    return sorted(out, key=repr)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("edits", [line_dedup.EDITS, (12, 24, 40, 55)])
+def test_line_dedup(spark, edits):
     r = random.Random(5)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(20, 80))) for _ in range(40)]
-    docs = [(i, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3])) if r.random() < 0.9 else r.choice(["", " " * 30, "short"]) for _ in range(r.randint(1, 5)))) for i in range(90)]
+    docs = [(i, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3, 4])) if r.random() < 0.9 else r.choice(["", " " * 30, "short"]) for _ in range(r.randint(1, 5)))) for i in range(90)]
     docs += [(500, None), (501, ""), (502, base[0] * 200), (503, base[0] * 200)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("old") for c in ("line", "node", "copy", "n_near", "component")})
-    out = dedup_lines(df).collect()
-    assert sorted(((x.doc_id, x.text) for x in out), key=repr) == brute_lines(docs)
-    for x in out:
-        assert x.n_exact + x.n_near == x.n_lines - len((x.text or "").split("\n")) or not x.text
-    assert dedup_lines(df.limit(0)).count() == 0
+    out = dedup_lines(df, edits=edits).collect()
+    assert sorted(((x.doc_id, x.text, x.n_exact, x.n_near) for x in out), key=repr) == brute_lines(docs, edits)
+    assert sum(x.n_near for x in out) > 20
+    assert dedup_lines(df.limit(0), edits=edits).count() == 0
 
 
 def test_repeated_rows_are_one_document(spark):
