@@ -10,6 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridtide.llm import toxicity
+from gridtide.llm.op5 import default_model
+from gridtide.llm.op10 import lexicon_of
 from gridtide.llm import line_dedup, ngram_join, op6
 from gridtide.llm.components import components
 from gridtide.llm import decontaminate
@@ -95,7 +98,7 @@ def test_sketches_bound_edits():
 def brute_lines(docs, edits=line_dedup.EDITS):
     """id, text, lines that went because of an equal one, and because of a near one, for each row."""
     usable = lambda x: len(x) >= line_dedup.LEAST_CHARS and x.strip(" ")
-    places = sorted({(i, k, t): x for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if usable(x)}.items())
+    places = sorted({(i, k, t): x for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if usable(x)}.items(), key=lambda p: (p[0][0] is not None, p[0][0] or 0, p[0][1], p[0][2]))
     lines = sorted({x for _, x in places})
     allowed = lambda a, b: sum(min(len(a), len(b)) >= e for e in edits)
     pairs = [(a, b) for a, b in itertools.combinations(lines, 2) if abs(len(a) - len(b)) <= (m := allowed(a, b)) and distance(a, b) <= m]
@@ -326,6 +329,114 @@ def test_pipeline(spark):
     assert len(lines) == len(set(lines))
 
 
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of made-up documents, labels and benchmark items: toxic ones, copies, repeated lines, passages, nulls, repeated rows and columns with clashing names."""
+    r = random.Random(21)
+    items = [(i, " ".join(words(r, 16))) for i in range(4)]
+    lines = [" ".join(words(r, 12)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        w = words(r, 40)
+        if i % 5 == 0:
+            w[7:7] = ["you", "scumbag"]
+        if i % 7 == 0:
+            w[20:20] = r.choice(items)[1].split()[2 : 2 + r.randint(8, 12)]
+        text = " ".join(w) + (f"\n{r.choice(lines)}" if i % 3 == 0 else "")
+        rows.append((i, text))
+        if i % 9 == 0:
+            rows += [(1000 + i, text), (2000 + i, " ".join(["otherwise", *text.split(" ")[1:]]))]
+    rows += [(3000, None), (3001, ""), (3002, " \n "), (None, rows[3][1]), (None, "alone and short"), (None, None), rows[5], (3003, "\n".join(lines)), (3004, "x " * 30_000)]
+    folder = str(tmp_path_factory.mktemp("small"))
+    docs = spark.createDataFrame([(*x, "en", len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, n_chars long")
+    docs = docs.withColumns({c: F.lit("own") for c in ("copy", "node", "line", "component", "least", "score", "n_exact", "_id", "term", "start", "items", "n_hit")})
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(140)] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, items
+
+
+def rows_of(df):
+    return sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+
+
+def test_pipeline_equals_brute_force(spark, small):
+    folder, items = small
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    staged = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, docs, folder), name)
+        staged[name] = (rows_of(docs), out)
+        docs = out
+    for name in ("toxicity", "line_dedup", "near_duplicates", "decontamination"):
+        assert staged[name][1].columns == columns
+        assert {x.score for x in staged[name][1].select("score").distinct().collect()} == {"own"}
+
+    before, out = staged["toxicity"]
+    lexicon = lexicon_of(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+
+    def toxic(text):
+        folded = toxicity.fold(text or "")
+        best = {}
+        for p, w in lexicon.weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(p, i):
+                    best[i] = max(w, best.get(i, w))
+        total, n = sum(best.values()), max(1, len(folded.split()))
+        return lexicon.bias + lexicon.plain * np.log1p(total) + lexicon.by_length * np.log1p(100 * total / n) >= 0
+
+    assert rows_of(out) == [x for x in before if not toxic(x[1])]
+    assert len(before) > len(rows_of(out)) > 0.7 * len(before)
+
+    before, out = staged["line_dedup"]
+    want = [(i, t) for i, t, exact, near in brute_lines(before) if not (exact + near and not t.strip(" \n"))]
+    assert rows_of(out) == sorted(want, key=repr)
+    assert all(x.n_chars == len(x.text or "") for x in out.collect())
+
+    before, out = staged["near_duplicates"]
+    texts = sorted({(i is None, i or 0, t or "") for i, t in before}, key=lambda k: (k[0], k[1]))
+    sets = {k: shingles(k[2], 5) for k in texts}
+    linked = [(a, b) for a, b in itertools.combinations(texts, 2) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = groups(linked, texts)
+    kept = {k for k in texts if k == group[k] or not sets[k]}
+    assert all(not a[0] and not b[0] for a, b in linked)  # no links among null ids alone, which hashes order
+    assert rows_of(out) == [x for x in before if (x[0] is None, x[0] or 0, x[1] or "") in kept]
+    assert len(linked) > 3
+
+    before, out = staged["decontamination"]
+    passages = {tuple(w[k : k + 10]) for _, t in items for w in [t.split()] for k in range(len(w) - 9)}
+    hit = lambda t: any(tuple(w[k : k + 10]) in passages for w in [(t or "").lower().split()] for k in range(len(w)))
+    assert rows_of(out) == [x for x in before if not hit(x[1])]
+    assert len(before) > len(rows_of(out))
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    for x in staged["sentencepiece"][1].collect():
+        assert x.ids == sp.encode(x.text or "")
+        assert x.n_tokens == len(x.ids)
+        assert x.restored == (sp.decode(x.ids) == (x.text or ""))
+
+
+def test_pipeline_without_rows(spark, small):
+    docs = spark.read.parquet(f"{small[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, small[0]).count() == 0
+
+
+def test_recall_of_near_duplicates(spark):
+    """Against brute force over the stage's own input: every pair of documents with a Jaccard index of 0.8 or more."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = corpus_pipeline.written(stage(spark, docs, DATA), "stage")
+    sets = {r.doc_id: s for r in docs.collect() if (s := shingles(r.text, 5))}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = groups(linked, sorted(sets))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()}
+    assert {i for i in sets if i in kept} == {i for i, m in least.items() if i == m}
+
+
 def test_large_sets(spark):
     """Sets whose sketches have more numbers than small ones' are compared by these, also with sets of other sizes."""
     r = random.Random(9)
