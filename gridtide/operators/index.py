@@ -210,9 +210,37 @@ def delete(defs: DataFrame, pattern: str) -> DataFrame:
 
 
 def delete_by_tag(defs: DataFrame, *expressions: str, older_than: int | None = None) -> DataFrame:
+    return defs.join(found_by_tag(defs, *expressions, older_than=older_than).select("sid"), "sid", "left_anti")
+
+
+def found_by_tag(defs: DataFrame, *expressions: str, older_than: int | None = None) -> DataFrame:
+    """What delete_by_tag takes away: to be looked at before (a dry run), or to be kept elsewhere (an archive)."""
     gone = find_by_tag(defs, *expressions)
-    gone = gone if older_than is None else gone.where(F.col("last_update") < older_than)
-    return defs.join(gone.select("sid"), "sid", "left_anti")
+    return gone if older_than is None else gone.where(F.col("last_update") < older_than)
+
+
+def added(defs: DataFrame, more: DataFrame) -> DataFrame:
+    """Definitions with others added; of two with one sid the later counts."""
+    both = defs.unionByName(more)
+    columns = [c for c in both.columns if c != "sid"]
+    return both.groupBy("sid").agg(F.max_by(F.struct(*columns), "last_update").alias("d")).select("sid", "d.*").select(*defs.columns)
+
+
+def controlled(defs: DataFrame, messages: DataFrame) -> DataFrame:
+    """Definitions after control messages: defs' columns and `action`, add or delete (by sid). Deletions come first."""
+    left = defs.join(messages.where("action = 'delete'").select("sid"), "sid", "left_anti").select(*defs.columns)
+    return added(left, messages.where("action = 'add'").select(*defs.columns))
+
+
+Rule = tuple[list[str], dict[str, str]]
+
+
+def upserted(rules: list[Rule], expressions: list[str], virtual: dict[str, str]) -> list[Rule]:
+    """Meta tag rules with one put in, or in the place of that with the same expressions; without tags it goes."""
+    at = sorted(expressions)
+    kept = [(e, virtual) if sorted(e) == at else (e, t) for e, t in rules]
+    kept = kept if any(sorted(e) == at for e, _ in rules) else [*kept, (expressions, virtual)]
+    return [(e, t) for e, t in kept if t]
 
 
 def prune(defs: DataFrame, rules: list[tuple[str, int]], now: int) -> DataFrame:

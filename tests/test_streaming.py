@@ -1,27 +1,42 @@
 """Streams give what batches give."""
 
 import itertools
+import random
+import time
 
 from pyspark.sql import functions as F
 
 from gridtide.operators import rollup
-from gridtide.streaming.ingest import ingest_batch, latest_definitions, reorder, stream_rollups
+from gridtide.operators import index as ix
+from gridtide.streaming.ingest import in_order, ingest_batch, latest_definitions, reorder, stored_points, stream_rollups, timely
 from gridtide.sources import metrics
 
 _n = itertools.count()
 
 
+def _wait(query, rows):
+    """Until so many rows have come in. (A query with timeouts always has another batch to run, so there's no end to wait for.)"""
+    for _ in range(600):
+        if sum(p["numInputRows"] for p in query.recentProgress) >= rows:
+            return
+        if not query.isActive:
+            raise query.exception()
+        time.sleep(0.1)
+    raise TimeoutError
+
+
 def _play(spark, tmp_path, schema, batches, transform):
     """All rows that a stream of these batches, one file each, gives."""
     folder = tmp_path / f"in{next(_n)}"
     folder.mkdir()
     name = f"out{next(_n)}"
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.json").json(str(folder))
     query = transform(source).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
     for i, rows in enumerate(batches):
         text = spark.createDataFrame(rows, schema).toJSON().collect()
-        (folder / f"{i}.json").write_text("\n".join(text))
-        query.processAllAvailable()
+        (folder / f"{i}.part").write_text("\n".join(text))
+        (folder / f"{i}.part").rename(folder / f"{i}.json")
+        _wait(query, sum(map(len, batches[: i + 1])))
     query.stop()
     return spark.table(name)
 
@@ -48,13 +63,80 @@ def test_reorder(spark, tmp_path):
     assert [r.val for r in again.where("ts = 30").collect()] == [3.0]
 
 
+def by_hand(points, window, allow_update):
+    """The buffer, one point after the other."""
+    held, top, out = {}, -1, []
+    for t, v in points:
+        slot = -(-t // 10) * 10
+        if slot <= top - window * 10 or (slot in held and not allow_update):
+            continue
+        held[slot] = v
+        top = max(top, slot)
+        out += [(x, held.pop(x)) for x in sorted(held) if x <= top - window * 10]
+    return sorted(out)
+
+
+def test_reorder_equals_one_by_one(spark, tmp_path):
+    schema = "sid string, interval int, ts long, val double"
+    r = random.Random(4)
+    times = [max(1, 5 * i + r.randint(-60, 60)) for i in range(200)]
+    points = [("s", 10, t, float(i)) for i, t in enumerate(times)]
+    for update in (False, True):
+        got = _play(spark, tmp_path, schema, [points[:90], points[90:]], lambda s, u=update: reorder(s, 4, u)).collect()
+        assert sorted((x.ts, x.val) for x in got) == by_hand([(t, v) for _, _, t, v in points], 4, update)
+
+
+def test_idle_series_are_emitted_and_forgotten(spark, tmp_path):
+    schema = "sid string, interval int, ts long, val double"
+    first = [("s", 10, t, float(t)) for t in (10, 30, 20)]
+    source = lambda s: reorder(s, 5, idle="1 second")
+    folder, name = tmp_path / "idle", f"idle{next(_n)}"
+    folder.mkdir()
+    query = source(spark.readStream.schema(schema).option("pathGlobFilter", "*.json").json(str(folder))).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+    for i, rows in enumerate((first, [("other", 10, 10, 1.0)])):
+        (folder / f"{i}.part").write_text("\n".join(spark.createDataFrame(rows, schema).toJSON().collect()))
+        (folder / f"{i}.part").rename(folder / f"{i}.json")
+        _wait(query, 3 + i)
+        time.sleep(5)
+    query.stop()
+    assert [(x.ts, x.val) for x in spark.table(name).where("sid = 's'").collect()] == [(10, 10.0), (20, 20.0), (30, 30.0)]
+
+
+def test_in_order(spark, tmp_path):
+    schema = "sid string, interval int, ts long, val double"
+    rows = [("s", 10, t, float(i)) for i, t in enumerate([5, 12, 11, 40, 30, 41])]
+    got = _play(spark, tmp_path, schema, [rows[:3], rows[3:]], lambda s: in_order(s))
+    assert [(x.ts, x.val) for x in got.orderBy("ts").collect()] == [(10, 0.0), (20, 1.0), (40, 3.0), (50, 5.0)]
+
+
+def test_timely(spark):
+    rows = metrics.validated(metrics.synthetic(spark, 1, 10))
+    got = timely(rows, future_tolerance=20, ingest_from={1: 30, 2: 99}, now=F.lit(60)).orderBy("time").collect()
+    assert [x.reason for x in got] == ["before-ingest-from"] * 2 + [None] * 6 + ["too-far-ahead"] * 2
+
+
 def test_ingest(spark, tmp_path):
     rows = metrics.synthetic(spark, 2, 5).unionByName(metrics.synthetic(spark, 1, 1).withColumn("name", F.lit("")))
+    later = rows.withColumn("time", F.col("time") + 86400)
     paths = [str(tmp_path / x) for x in ("index", "store", "discarded")]
-    for _ in range(2):
-        ingest_batch(rows, *paths)
+    for batch, part in ((0, rows), (1, later), (1, later)):  # the last is played again
+        ingest_batch(part, batch, *paths)
     index, store, discarded = (spark.read.parquet(p) for p in paths)
     assert index.count() == 4
     assert latest_definitions(index).count() == 2
+    assert {x.last_update for x in latest_definitions(index).collect()} == {86450}
     assert store.count() == 20
+    assert discarded.count() == 2
     assert {r.reason for r in discarded.collect()} == {"invalid-name"}
+    read = stored_points(spark, paths[1], 86400, 86430)
+    assert read.count() == 6
+    assert "day" in read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+
+
+def test_control_and_rules(spark):
+    defs = spark.createDataFrame([("a", 1), ("b", 1), ("c", 5)], "sid string, last_update long")
+    messages = spark.createDataFrame([("a", 0, "delete"), ("b", 3, "add"), ("c", 2, "add"), ("d", 4, "add")], "sid string, last_update long, action string")
+    assert sorted(map(tuple, ix.controlled(defs, messages).collect())) == [("b", 3), ("c", 5), ("d", 4)]
+    rules = ix.upserted([], ["a=b", "c=d"], {"x": "1"})
+    assert ix.upserted(rules, ["c=d", "a=b"], {"x": "2"}) == [(["a=b", "c=d"], {"x": "2"})]
+    assert ix.upserted(rules, ["a=b", "c=d"], {}) == []
