@@ -34,7 +34,7 @@ from gridtide.llm import bloom, textbytes
 from gridtide.llm.components import components
 from gridtide.llm.spaces import Scratch
 
-#: A token in so many sets, as far as they are near one another in the input, is of the frequent class.
+#: A token in so many sets is of the frequent class (a set counts again where a task has forgotten it).
 FREQUENT = 32
 #: The longest prefix for which pairs of frequent tokens are indexed.
 COMBINED = 40
@@ -130,7 +130,7 @@ def frequent_tokens(docs: DataFrame, k: int, scratch: Scratch, text: str = "text
 
         def counted() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
         for batch in batches:
             for _, _, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
