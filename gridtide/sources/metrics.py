@@ -87,7 +87,7 @@ def points_of(metrics: DataFrame) -> DataFrame:
 def series_from_table(df: DataFrame, name: Column, at: Column, value: Column, interval: int, tags: dict[str, Column] | None = None, patt: str = "*") -> SeriesList:
     """Sums of a table's values by series and slot (as a rollup of counts), exact for values of two decimals; dense.
 
-    This is the fetch: the table is read once, and what it is reduced to is kept in the shared folder, with the times of its first and last slots.
+    This is the fetch: the table is read once, and what it is reduced to, points and series apart, is kept in the shared folder, with the times of its first and last slots.
     """
     tags = {"name": name} if tags is None else {"name": name, **tags}
     seconds = F.unix_timestamp(at) if not isinstance(at, int) else at
@@ -97,7 +97,7 @@ def series_from_table(df: DataFrame, name: Column, at: Column, value: Column, in
     reduced = written(reduced, "fetched")
     series = reduced.groupBy("sid").agg(*[F.any_value(t).alias(t) for t in own])
     series = series.select("sid", F.col("sid").alias("name"), F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*map(F.col, own))).alias("tags"), F.lit(interval).alias("interval"), F.lit(patt).alias("patt"))
-    return SeriesList.of(series, reduced, [interval]).dense()
+    return SeriesList.of(written(series, "series"), reduced, [interval]).dense()
 
 
 def combined(hot: DataFrame, cold: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -145,6 +146,18 @@ def test_functions_run_no_jobs(spark, three):
     assert all(o.points.count() for o in out)
 
 
+def test_sources_are_read_once(spark):
+    """The table at the fetch, and its points once for a sum and twice for shares of a sum."""
+    from gridtide.queries import orders
+
+    sl = orders(spark, "/root/testdata/sf0.001")
+    total = apply("sumSeries", sl)
+    plan = lambda x: x.rows()._jdf.queryExecution().executedPlan().toString()
+    assert plan(total).count("/orders.parquet") == 0
+    assert len(re.findall(r"FileScan parquet.*/fetched-", plan(total))) == 1
+    assert len(re.findall(r"FileScan parquet.*/fetched-", plan(apply("divideSeries", sl, total)))) == 2
+
+
 def wrapped(a, b, most):
     """Growth from a to b of a counter that may wrap at most."""
     if a is None or b is None:
