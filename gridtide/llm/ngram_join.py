@@ -14,7 +14,7 @@ list are compared first, and then only those pairs of a list that aren't in one
 sets are one node from the beginning. Which tokens are frequent is told by a Bloom filter of fixed size: a
 wrong answer of it puts a token elsewhere in the order, for all documents alike, and loses nothing.
 
-Nodes are 64-bit digests of sets. Null and empty texts have empty sets, linked with nothing; rows
+Nodes are 64-bit digests of sets. Ids may be of any type that has an order. Null and empty texts have empty sets, linked with nothing; rows
 with one id are one document. Rows with a null id are documents told by their texts; they link as others do, and
 their component id is null (repeated() tells which of them are copies). Every row is kept.
 """
@@ -189,21 +189,21 @@ def index_entries(docs: DataFrame, k: int, t: Fraction, frequent: np.ndarray, te
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, tokens (sorted) of the wanted documents (node, doc_id; 0 stands for null). A Bloom filter of fixed size keeps most others from being moved; no texts are."""
-    kept = bloom.build(wanted.select(F.col("node").bitwiseXOR(F.col("doc_id").cast("long"))))
+    """node, tokens (sorted) of the wanted documents (node, key: the id's hash). A Bloom filter of bounded size keeps most others from being moved; no texts are."""
+    kept = bloom.build(wanted.select(F.col("node").bitwiseXOR(F.col("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("key").to_numpy()
             for first, last, data, offsets in textbytes.chunks(textbytes.column_of(batch, "_text")):
                 tokens, at, n, node = _sets(data, offsets, k)
                 take = bloom.holds(kept, (node ^ ids[first:last]).view(np.uint64))
                 own = np.concatenate([[0], np.cumsum(n[take])])
                 lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(tokens[np.repeat(take, n)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(ids[first:last][take]), lists], ["node", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(ids[first:last][take]), lists], ["node", "key", "tokens"])
 
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "node bigint, doc_id bigint, tokens array<bigint>")
-    return found.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "tokens")
+    found = docs.select(F.xxhash64(doc_id).alias("key"), F.col(text).alias("_text")).mapInArrow(run, "node bigint, key bigint, tokens array<bigint>")
+    return found.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).select("node", "tokens")
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, t: Fraction) -> Column:
@@ -265,13 +265,13 @@ def _grouped(docs: DataFrame, k: int, threshold: Fraction, doc_id: str, text: st
     listed = entries.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo != hi").drop("lo", "hi")
     before = F.lag(F.struct("node", "n", "first")).over(by_key)
     listed = scratch.written(listed.withColumn("before", before), "lists")
-    nodes = scratch.written(digests.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = scratch.written(digests.where("n > 0").groupBy("node").agg(F.xxhash64(F.min("doc_id")).alias("key"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs, by the whole sets of one document for each node."""
         pairs = scratch.written(_by_sketches(pairs, nodes, t), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = scratch.written(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+        wanted = scratch.written(nodes.select("node", "key").join(ends, "node", "left_semi"), "wanted")
         out = scratch.written(_linked(pairs, token_sets(docs, wanted, k, doc_id, text), t), "links")
         scratch.drop(pairs, wanted)
         return out

@@ -305,6 +305,14 @@ def test_null_ids_link(spark):
     assert len({x for _, x in kept} & {" ".join(t), changed[0]}) == 1
 
 
+def test_ids_of_any_type(spark):
+    r = random.Random(19)
+    t = words(r, 60)
+    docs = [("d", " ".join(t)), ("b", " ".join([*t[:30], "new", *t[31:]])), ("c", " ".join(words(r, 20))), (None, " ".join(t))]
+    got = similar_components(spark.createDataFrame(docs, "doc_id string, text string"), 5, Fraction(4, 5)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {"d": "b", "b": "b", "c": "c", None: None}
+
+
 # ---- the pipeline
 
 
